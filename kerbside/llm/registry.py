@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kerbside.llm import byte_bpe, packing, quality_rules, sharding
+from kerbside.llm import byte_bpe, minhash_dedup, packing, quality_rules, sharding
 
 QUERIES = {
+    "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
