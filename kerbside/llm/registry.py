@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from kerbside.llm import byte_bpe, minhash_dedup, packing, quality_rules, sharding
+from kerbside.llm import byte_bpe, line_dedup, minhash_dedup, packing, quality_rules, sharding
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
