@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbside.llm import byte_bpe, line_dedup, minhash_dedup, packing, quality_rules, sharding
+from kerbside.llm import byte_bpe, line_dedup, minhash_dedup, packing, quality_rules, sharding, suffix_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_sharding": sharding.op5_sharding,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL = {"op7_quality_rules": quality_rules.OP7_SQL}
