@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from kerbside.llm import byte_bpe, line_dedup, minhash_dedup, packing, quality_rules, sharding, suffix_dedup
+from kerbside.llm import byte_bpe, html_extract, line_dedup, minhash_dedup, packing, quality_rules, sharding, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_topk_search": topk_search.op2_topk_search,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op4_packing": packing.op4_packing,
     "op5_sharding": sharding.op5_sharding,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
