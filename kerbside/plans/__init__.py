@@ -1 +1 @@
-
+"""Queries over the given tables, with the same in SQL."""
