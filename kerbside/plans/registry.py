@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kerbside.plans import motion
+from kerbside.plans import motion, series
 
-FAMILIES = (motion,)
+FAMILIES = (motion, series)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}

@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -29,8 +30,11 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8, memory: str
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that checkpoints have a folder.
 
-    The checkpoint folder is the cluster's (spark.checkpoint.dir); a temporary one is set only where there is none.
+    The checkpoint folder is the cluster's (spark.checkpoint.dir); a temporary one is set only where there is none. Arrow
+    batches, which Spark bounds by rows, are made small enough for rows that hold long texts.
     """
+    if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's own default
+        spark.conf.set(ARROW_ROWS, "1000")
     context = spark.sparkContext
     known = context.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
