@@ -66,7 +66,7 @@ def active(obs: DataFrame, videos: DataFrame, tolerance: float = 0.0) -> DataFra
     """Tracks at each whole second while they last: (video_id, tid, kind, at). Seconds come from each track's own span."""
     spans = obs.groupBy(*TRACK, "kind").agg(F.min("t").alias("a"), F.max("t").alias("b")).join(videos.select("video_id", "duration"), "video_id")
     first, last = F.greatest(F.ceil(F.col("a") - tolerance), F.lit(0)), F.least(F.floor(F.col("b") + tolerance), F.floor(F.col("duration")))
-    return spans.where(first <= last).select(*TRACK, "kind", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).cast("double").alias("at"))
+    return spans.where(first <= last).select(*TRACK, "kind", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("at")).withColumn("at", F.col("at").cast("double"))
 
 
 @rule("congestion")
