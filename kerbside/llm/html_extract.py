@@ -274,7 +274,8 @@ def training_page(sources: list[str], rng: random.Random) -> tuple[Page, np.ndar
         mark = f' {rng.choice(("class", "id"))}="{label}"' if label else ""
         return f"<{tag} data-k=0{mark}>{inner}</{tag}>"
 
-    body = m[2]
+    # links and marks in running text are part of it
+    body = re.sub(r"<p>", lambda x: x[0] + (f'{prose(8)} <a href="/">{prose(3)}</a> ' if rng.random() < 0.25 else f"<em>{prose(2)}</em> " if rng.random() < 0.1 else ""), m[2])
     if rng.random() < 0.5:  # within the article
         cut = rng.choice([x.start() for x in re.finditer(r"<(?:p|h\d)\b", body)] + [len(body)])
         body = body[:cut] + graft() + body[cut:]
