@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kerbside.plans import motion, reports, series
+from kerbside.plans import live, motion, reports, series
 
-FAMILIES = (motion, series, reports)
+FAMILIES = (motion, series, reports, live)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
