@@ -41,7 +41,7 @@ TAGS = ("html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BUCKETS = 48
-SWITCH = 1.5
+SWITCH = 2.5
 
 
 class Page:
@@ -140,7 +140,7 @@ class Page:
             seen[parent[i]] = order[i] + 1
         up = np.maximum(parent, 0)
         chars = whole[:, 0]
-        out = np.zeros((n, 13 + len(TAGS) + 2 * BUCKETS), np.float32)
+        out = np.zeros((n, 13 + 2 * (len(TAGS) + BUCKETS) + 4), np.float32)
         out[:, 0], out[:, 1], out[:, 2] = depth, order, children
         out[:, 3] = children[up] - 1
         out[:, 4] = order / np.maximum(children[up] - 1, 1)
@@ -156,11 +156,12 @@ class Page:
                 out[i, 13 + TAGS.index(tag)] = 1
             for t in self.tokens[i]:
                 out[i, 13 + len(TAGS) + bucket(t)] = 1
-        inherited = 13 + len(TAGS) + BUCKETS  # the tokens of the element and all above it
-        for i in range(n):
-            out[i, inherited:] = out[i, inherited - BUCKETS : inherited]
-            if i:
-                out[i, inherited:] = np.maximum(out[i, inherited:], out[parent[i], inherited:])
+        # the tags and tokens of the element and all above it, and what its parent is like
+        first, width = 13, len(TAGS) + BUCKETS
+        out[:, first + width : first + 2 * width] = out[:, first : first + width]
+        for i in range(1, n):
+            np.maximum(out[i, first + width : first + 2 * width], out[parent[i], first + width : first + 2 * width], out=out[i, first + width : first + 2 * width])
+        out[:, first + 2 * width :] = out[up][:, [5, 6, 7, 11]]
         return out
 
 

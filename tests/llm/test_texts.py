@@ -180,9 +180,10 @@ def test_html_extraction(spark):
 
 def test_html_other_templates():
     model = html_extract.train([h for h, _ in pages()])
-    page = '<html><body><header class="site-header"><h1>Site</h1></header><div class="cookie-notice">We use cookies.</div><div class="content"><h1>Title here</h1><p>First paragraph of the story, long enough.</p><aside class="sidebar"><p>Related</p></aside><p>Second <a href="x">link</a> here.<p>Third</div><div class="comments"><p>A comment, it is.</p></div><footer>c</footer></body></html>'
+    story = " ".join(["First paragraph of the story, long enough."] * 6)
+    page = '<html><body><header class="site-header"><h1>Site</h1></header><div class="cookie-notice">We use cookies.</div><div class="content"><h1>Title here</h1><p>STORY</p><aside class="sidebar"><p>Related</p></aside><p>Second <a href="x">link</a> here.<p>Third</div><div class="comments"><p>A comment, it is.</p></div><footer>c</footer></body></html>'.replace("STORY", story).replace("here.", f"here. {story}")
     [text] = html_extract.extract(model, [page])
-    assert "First paragraph of the story, long enough.\nSecond link here.\nThird" in text and "comment" not in text and "cookies" not in text and "Related" not in text
+    assert f"{story}\nSecond link here. {story}" in text and "comment" not in text and "cookies" not in text and "Related" not in text
 
 
 def labelled(n=500):
