@@ -21,6 +21,7 @@ from kerbside.operators.pairs import hazard
 from kerbside.operators.risk import MIDDLE, WIDTH, risk_curve
 from kerbside.operators.temporal import asof
 from kerbside.sources.documents import clean_label, read_ground_truth, read_predictions
+from kerbside.streaming.tracks import session_stream, track_stream
 
 
 def table(spark, rows, schema):
@@ -147,12 +148,22 @@ def test_tracker_in_a_stream_gives_what_a_batch_gives(spark, tmp_path):
         part = [r for r in rows if (r[1] >= 1.0) == bool(k)]
         table(spark, part, DETECTION).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(DETECTION).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = tracking.track_stream(stream).writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query = track_stream(stream).writeStream.format("memory").queryName("tracked").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     key = lambda r: (r["t"], r["tid"], r["x1"])
     assert sorted(map(key, spark.table("tracked").collect())) == sorted(map(key, tracking.track(table(spark, rows, DETECTION)).collect()))
 
 
+def test_sessions_of_a_stream(spark, tmp_path):
+    for k, seconds in enumerate(([0, 5, 9], [40, 41], [500])):
+        spark.createDataFrame([("v", s) for s in seconds], "k string, s long").selectExpr("k", "timestamp_seconds(s) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, ts timestamp").parquet(str(tmp_path / "in"))
+    query = session_stream(stream, ["k"], "ts", "10 seconds").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.table("sessions").selectExpr("unix_timestamp(start) AS a", "unix_timestamp(end) AS b", "n").collect()
+    assert sorted(map(tuple, got)) == [(0, 9, 3), (40, 41, 2)]
+
+
 def test_signal_phases():
     t = np.arange(0, 90, 0.5)
     red = (t // 15).astype(int) % 2 == 1
