@@ -28,45 +28,86 @@ WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 12, 8, 16
 ROWS = 1 << 15
 NGRAMS = (3, 4, 5)
-SAMPLE = 3000
+SAMPLE = 2000
 EPOCHS, BATCH = 8, 128
 FOLDS = 5
 
 
+def ngrams(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the n-gram table of words, each between two marks, and bounds."""
+    edge = np.concatenate(([0], np.cumsum(sizes + 2)))
+    padded = np.zeros(edge[-1], np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    padded[edge[:-1][owner] + 1 + inner] = data[starts[owner] + inner]
+    word_of = np.repeat(np.arange(len(sizes)), sizes + 2)
+    rows, owners = [], []
+    for size in NGRAMS:
+        h = np.full(max(len(padded) - size + 1, 0), size, np.uint64)
+        for j in range(size):
+            h = h * np.uint64(C.BASE) + padded[j : j + len(h)] + np.uint64(1)
+        inside = np.flatnonzero(word_of[: len(h)] == word_of[size - 1 : size - 1 + len(h)])
+        rows.append((C.mix(h[inside]) % np.uint64(ROWS)).astype(np.int32))
+        owners.append(word_of[inside].astype(np.int32))
+    owners, rows = np.concatenate(owners), np.concatenate(rows)
+    order = np.argsort(owners, kind="stable")
+    return rows[order], np.searchsorted(owners[order], np.arange(len(sizes) + 1))
+
+
+def picked(values: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some rows, with new bounds."""
+    n = np.diff(bounds)[rows]
+    new = np.concatenate(([0], np.cumsum(n)))
+    out = np.empty(new[-1], values.dtype)
+    for first in range(0, len(rows), 16384):  # bounded index arrays
+        a, b = new[first], new[min(first + 16384, len(rows))]
+        part = slice(first, first + 16384)
+        out[a:b] = values[np.arange(a, b) + np.repeat(bounds[rows[part]] - new[:-1][part], n[part])]
+    return out, new
+
+
 class Vocabulary:
-    """The distinct words of a chunk of texts: their rows in the word table and, as bounds and rows, in the n-gram table."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = C.LOWER[data]
-        starts, ends, self.bounds = C.words(data, offsets)
-        hashed = C.slice_hash(C.prefix_hash(data), starts, ends)
-        unique, at, self.index = np.unique(hashed, return_index=True, return_inverse=True)
-        self.word_rows = (unique % np.uint64(ROWS)).astype(np.int64)
-        a, n = starts[at], ends[at] - starts[at]
-        # each word between two marks
-        edge = np.concatenate(([0], np.cumsum(n + 2)))
-        padded = np.zeros(edge[-1], np.uint64)
-        owner = np.repeat(np.arange(len(n)), n)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        padded[edge[:-1][owner] + 1 + inner] = data[a[owner] + inner]
-        word_of = np.repeat(np.arange(len(n)), n + 2)
-        rows, owners = [], []
-        for size in NGRAMS:
-            h = np.full(max(len(padded) - size + 1, 0), size, np.uint64)
-            for j in range(size):
-                h = h * np.uint64(C.BASE) + padded[j : j + len(h)] + np.uint64(1)
-            inside = np.flatnonzero(word_of[: len(h)] == word_of[size - 1 : size - 1 + len(h)])
-            rows.append((C.mix(h[inside]) % np.uint64(ROWS)).astype(np.int64))
-            owners.append(word_of[inside])
-        owners, rows = np.concatenate(owners), np.concatenate(rows)
-        order = np.argsort(owners, kind="stable")
-        self.gram_rows = rows[order]
-        self.gram_bounds = np.searchsorted(owners[order], np.arange(len(n) + 1))
-
-    def pooled(self, table: np.ndarray) -> np.ndarray:
+    """The distinct words of some texts: their rows in the word table and, as bounds and rows, in the n-gram table.
+
+    Texts are taken in chunks, so that it holds little more than the words themselves.
+    """
+
+    def __init__(self, column):
+        hashes, bounds, unique, rows, sizes, base = [], [np.zeros(1, np.int64)], [], [], [], 0
+        for _, _, data, offsets in C.chunks(column, C.CHUNK_BYTES // 2):
+            data = C.LOWER[data]
+            starts, ends, own = C.words(data, offsets)
+            hashed = C.slice_hash(C.prefix_hash(data), starts, ends)
+            seen, at = np.unique(hashed, return_index=True)
+            g, b = ngrams(data, starts[at], ends[at] - starts[at])
+            hashes.append(hashed)
+            bounds.append(own[1:] + base)
+            unique.append(seen)
+            rows.append(g)
+            sizes.append(np.diff(b))
+            base += len(hashed)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.bounds = np.concatenate(bounds)
+        found, at = np.unique(join(unique, np.uint64), return_index=True)
+        all_bounds = np.concatenate(([0], np.cumsum(join(sizes, np.int64)))).astype(np.int64)
+        self.gram_rows, self.gram_bounds = picked(join(rows, np.int32), all_bounds, at)
+        self.word_rows = (found % np.uint64(ROWS)).astype(np.int64)
+        self.index = np.searchsorted(found, join(hashes, np.uint64)).astype(np.int32)
+
+    def part(self, words: np.ndarray) -> Vocabulary:
+        """Only some words; no texts."""
+        out = Vocabulary.__new__(Vocabulary)
+        out.word_rows = self.word_rows[words]
+        out.gram_rows, out.gram_bounds = picked(self.gram_rows, self.gram_bounds, words)
+        return out
+
+    def pooled(self, table: np.ndarray, block: int = 16384) -> np.ndarray:
         """The mean of each word's n-gram rows (every word has one: its marks and a letter)."""
-        sums = np.add.reduceat(table[self.gram_rows], self.gram_bounds[:-1], axis=0) if len(self.word_rows) else np.zeros((0, table.shape[1]), np.float32)
-        return sums / np.diff(self.gram_bounds)[:, None].astype(np.float32)
+        out = np.zeros((len(self.word_rows), table.shape[1]), np.float32)
+        for first in range(0, len(out), block):
+            b = self.gram_bounds[first : first + block + 1]
+            out[first : first + block] = np.add.reduceat(table[self.gram_rows[b[0] : b[-1]]], b[:-1] - b[0], axis=0) / np.diff(b)[:, None]
+        return out
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word places (windows x WINDOW, padded with the last word), lengths, and bounds of each text's windows."""
@@ -188,12 +229,14 @@ def log_odds(v: Vocabulary, toxic: np.ndarray) -> np.ndarray:
     return np.log(share[1] / share[0]).astype(np.float32)
 
 
-def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+def train(texts, toxic: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     """The network's weights, and the slope and shift of its calibration."""
     p, rng = initial(seed), np.random.default_rng(seed)
-    v = Vocabulary(data, offsets)
+    v = Vocabulary(texts)
     places, length, bounds = v.windows()
     index = v.index[places] if len(v.index) else places
+    del places
+    length = length.astype(np.int32)
     odds = log_odds(v, toxic)
     p["grams"][:, 0] = 0.5 * odds
     text = C.rows_of(bounds)
@@ -224,10 +267,8 @@ def train(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, seed: int =
             # only this batch's words
             words, local = np.unique(index[own], return_inverse=True)
             local = local.reshape(index[own].shape)
-            sub = Vocabulary.__new__(Vocabulary)
-            counts = np.diff(v.gram_bounds)[words]
-            sub.word_rows, sub.gram_bounds = v.word_rows[words], np.concatenate(([0], np.cumsum(counts)))
-            sub.gram_rows = v.gram_rows[np.arange(sub.gram_bounds[-1]) + np.repeat(v.gram_bounds[words] - sub.gram_bounds[:-1], counts)]
+            sub = v.part(words)
+            counts = np.diff(sub.gram_bounds)
             inputs = embed(p, sub)
             logit, memory = forward(p, inputs, local, length[own])
             g = gradients(p, inputs, local, memory, ((sigmoid(logit) - toxic[text[own]]) / len(own)).astype(np.float32))
@@ -283,12 +324,12 @@ def logits(p: dict, inputs: np.ndarray, index: np.ndarray, length: np.ndarray, b
     return out
 
 
-def scores(p: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def scores(p: dict, texts) -> np.ndarray:
     """The score of each whole text."""
-    v = Vocabulary(data, offsets)
+    v = Vocabulary(texts)
     places, length, bounds = v.windows()
     index = v.index[places] if len(v.index) else places
-    peak = np.maximum.reduceat(logits(p, embed(p, v), index, length), bounds[:-1]) if len(offsets) > 1 else np.zeros(0, np.float32)
+    peak = np.maximum.reduceat(logits(p, embed(p, v), index, length), bounds[:-1]) if len(texts) else np.zeros(0, np.float32)
     a, b = p["line"]
     return sigmoid((a * peak + b).astype(np.float64))
 
@@ -297,28 +338,28 @@ def fold():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(FOLDS))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts (bytes, offsets) and labels of at most `sample` training rows of each class."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[pa.ChunkedArray, np.ndarray]:
+    """Texts and labels of at most `sample` training rows of each class."""
     known = C.with_defaults(labels, doc_id="bigint", toxic="int").where("doc_id is not null and toxic in (0, 1)").where(fold() != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     parts = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     rows = docs.join(F.broadcast(parts[0].union(parts[1])), "doc_id").select("text", "toxic").orderBy(F.xxhash64("text")).toArrow()  # 2 x sample rows at most
-    data, offsets = C.text_bytes(rows["text"])
-    return data, offsets, np.asarray(rows["toxic"]).astype(np.int64)
+    return rows["text"], np.asarray(rows["toxic"]).astype(np.int64)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     own = C.with_defaults(docs, doc_id="bigint", text="string")
-    data, offsets, toxic = labelled_sample(own, labels, sample)
+    texts, toxic = labelled_sample(own, labels, sample)
     share = (toxic.sum() + 1) / (len(toxic) + 2)
-    weights = train(data, offsets, toxic) if 0 < toxic.sum() < len(toxic) else None
+    weights = train(texts, toxic) if 0 < toxic.sum() < len(toxic) else None
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            found = [scores(p, d, o) if p else np.full(len(o) - 1, share) for _, _, d, o in C.chunks(batch.column(1), C.CHUNK_BYTES // 2)]
+            texts = batch.column(1)
+            found = [scores(p, texts.slice(a, b - a)) if p else np.full(b - a, share) for a, b, _, _ in C.chunks(texts, C.CHUNK_BYTES // 2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found) if found else np.zeros(0))], ["doc_id", "score"])
 
     scored = own.mapInArrow(run, "doc_id bigint, score double")
