@@ -60,7 +60,7 @@ def dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    return Context(observed(spark, sf_dir), videos(spark, sf_dir))
+    return Context(observed(spark, sf_dir).persist(), videos(spark, sf_dir))  # read several times by a rule; Spark makes lost parts anew
 
 
 def against(spark: SparkSession, sf_dir: str) -> DataFrame:
