@@ -17,4 +17,4 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
-ORACLE_SQL = {"op7_quality_rules": quality_rules.OP7_SQL}
+ORACLE_SQL = {"op2_topk_search": topk_search.OP2_SQL, "op7_quality_rules": quality_rules.OP7_SQL}
