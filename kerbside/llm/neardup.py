@@ -4,7 +4,7 @@ Items have a 64-bit id and band keys from MinHash. Band keys travel as packed ar
 so that a bucket costs 16 bytes a member. Buckets of up to SMALL members propose all their pairs. A larger bucket proposes
 stars around CENTRES members only; once these links are verified and joined into components, what is left are the
 buckets that still hold several components. There, the members outside the bucket's largest component are compared with
-all members, in cells of bounded size, by exact set intersection. So no bucket is capped and none emits all its pairs.
+all members, in cells of a bounded number of items, by exact set intersection. So no bucket is capped and none emits all its pairs.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from kerbside.llm import common as C
 from kerbside.llm.components import components, labelled, packed_edges
 
-SMALL, CENTRES, CELL = 6, 3, 128
+SMALL, CENTRES, CELL = 6, 3, 32
 #: Numbers of partitions by which band keys are dealt, for each of Spark's shuffle partitions (evens them out).
-SHARES = 8
+SHARES = 4
 PAIR, MEMBER = 0, 1
 
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -113,15 +113,15 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Data
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
 
 
-def open_cells(members: DataFrame, found: DataFrame) -> DataFrame:
+def open_cells(members: DataFrame, found: DataFrame, size: int = CELL) -> DataFrame:
     """Cells of the large buckets that hold several components: (key, row, col, query, id, component).
 
-    With n members, of which m are outside the largest component (the queries), a bucket has ceil(n / CELL) x ceil(m / CELL) cells.
+    With n members, of which m are outside the largest component (the queries), a bucket has ceil(n / size) x ceil(m / size) cells.
     """
     m = labelled(members.select(F.col("a").alias("key"), F.col("b").alias("id")), found)
     counted = m.groupBy("key", "component").agg(F.count("*").alias("n"))
     buckets = counted.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    rows, cols = F.ceil(F.col("n") / CELL).cast("int"), F.ceil((F.col("n") - F.col("most")) / CELL).cast("int")
+    rows, cols = F.ceil(F.col("n") / size).cast("int"), F.ceil((F.col("n") - F.col("most")) / size).cast("int")
     m = m.join(buckets.select("key", "main", rows.alias("rows"), cols.alias("cols")), "key").withColumn("h", F.xxhash64("id"))
     as_row = m.select("key", F.pmod("h", "rows").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(False).alias("query"), "id", "component")
     as_query = m.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod("h", "cols").cast("int").alias("col"), F.lit(True).alias("query"), "id", "component")
@@ -139,8 +139,11 @@ def cell_links(cells: DataFrame, texts: DataFrame, sets: Sets, percent: int) ->
         q, r = np.flatnonzero(query), np.flatnonzero(~query)
         place = np.empty(len(ids), np.int64)
         place[q], place[r] = np.arange(len(q)), np.arange(len(r))
-        # only values on both sides matter; their 0/1 matrices are multiplied in slices
-        shared, column = np.unique(values, return_inverse=True)
+        # only values that several have matter; their 0/1 matrices are multiplied in slices
+        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+        several = times[column] > 1
+        owner, column = owner[several], (np.cumsum(times > 1) - 1)[column[several]]
+        shared = np.flatnonzero(times > 1)
         inter = np.zeros((len(q), len(r)), np.float32)
         for low in range(0, len(shared), 4096):
             at = np.flatnonzero((column >= low) & (column < low + 4096))
@@ -156,10 +159,11 @@ def cell_links(cells: DataFrame, texts: DataFrame, sets: Sets, percent: int) ->
     return cells.join(texts, "id").groupBy("key", "row", "col").applyInArrow(run, "a bigint, b bigint")
 
 
-def link(found: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, plausible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def link(found: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, plausible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, cell: int = CELL) -> DataFrame:
     """Components (id, component) of the candidates (kind, a, b), which are on disk already.
 
-    texts: gives (id, z) for a table of ids. plausible: drops pairs that an estimate rules out.
+    texts: gives (id, z) for a table of ids. plausible: drops pairs that an estimate rules out. cell: items on a
+    side of a comparison, by their size.
     """
     pairs = plausible(found.where(F.col("kind") == PAIR).select("a", "b").distinct()).checkpoint()
     members = found.where(F.col("kind") == MEMBER).select("a", "b")
@@ -167,7 +171,7 @@ def link(found: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets,
     known = texts(ids).checkpoint()
     links = verify(pairs, known, sets, percent).checkpoint()
     comps = components(links)
-    more = cell_links(open_cells(members, comps), known, sets, percent).checkpoint()
+    more = cell_links(open_cells(members, comps, cell), known, sets, percent).checkpoint()
     # every pair across components of a bucket has now been compared
     return comps if more.isEmpty() else components(links.union(more))
 
