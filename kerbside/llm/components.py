@@ -40,26 +40,57 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["a", "b"])
 
 
+def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Distinct rows (a, b) of sorted batches with the first b of each a, and whether the row is marked; a group may go on over batches."""
+    last: tuple[int, int, int] | None = None  # a, its first b, the b before
+    for batch in batches:
+        a, b = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        if not len(a):
+            continue
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        fresh = new.copy()
+        fresh[1:] |= b[1:] != b[:-1]
+        first = b[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+        if last is not None and a[0] == last[0]:
+            own = int(np.argmax(a != a[0])) or len(a) if (a != a[0]).any() else len(a)
+            first = first.copy()
+            first[:own] = last[1]
+            fresh[0] = b[0] != last[2]
+        last = int(a[-1]), int(first[-1]), int(b[-1])
+        marked = np.asarray(batch.column(2)) if batch.num_columns > 2 else np.zeros(len(a), bool)
+        yield a[fresh], b[fresh], first[fresh], marked[fresh]
+
+
+def large_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All larger neighbours of a node are linked to the smallest node near it."""
+    for a, b, first, _ in _sorted_groups(batches):
+        least, up = np.minimum(a, first), b > a
+        yield pa.RecordBatch.from_arrays([pa.array(b[up]), pa.array(least[up]), pa.array((least < a)[up])], ["a", "b", "changed"])
+
+
+def small_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A node and its smaller neighbours are linked to the smallest of them."""
+    for a, b, first, marked in _sorted_groups(batches):
+        other = b != first
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(other, b, a)), pa.array(first), pa.array(other | marked)], ["a", "b", "changed"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every id that an edge (a, b) of longs names and that isn't its component's smallest.
 
     Null ends and loops link nothing; repeated edges do no harm; without edges the result is empty.
     """
-    e = edges.select("a", "b").where("a <> b").mapInArrow(contract, "a bigint, b bigint").checkpoint()
-    before = None
+    schema = "a bigint, b bigint, changed boolean"
+    e = edges.select("a", "b").where("a <> b").mapInArrow(contract, "a bigint, b bigint").withColumn("changed", F.lit(False))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        # large star: all larger neighbours of a node, to the smallest node near it
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        e = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours, to the smallest of them
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        near = e.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = near.union(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == before:
-            return e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before = state
+        both = e.select("a", "b", F.explode(F.array(F.lit(False), F.lit(True))).alias("turned")).select(F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("b"))
+        large = both.repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(large_star, schema)
+        e = large.repartition(n, "a").sortWithinPartitions("a", "b", F.desc("changed")).mapInArrow(small_star, schema).checkpoint()
+        if not e.agg(F.max("changed")).first()[0]:
+            break
+    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
 
 
 def labelled(ids: DataFrame, found: DataFrame) -> DataFrame:
