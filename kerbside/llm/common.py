@@ -130,7 +130,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.n
     n = len(hashed)
     counts = np.diff(bounds)
     rolled = np.zeros(n, np.uint64)
-    for j in range(size):
+    for j in range(min(size, n)):  # a chunk may have fewer words
         rolled[: n - j] = rolled[: n - j] * np.uint64(BASE) + hashed[j:]
     whole = np.flatnonzero((counts > 0) & (counts < size))
     for i in whole:  # few short texts

@@ -67,7 +67,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     hashed = C.slice_hash(prefix, starts, ends)
     # words in windows that occur twice or more in the text
     rolled = np.zeros(len(hashed), np.uint64)
-    for j in range(WINDOW):
+    for j in range(min(WINDOW, len(hashed))):  # a chunk may have fewer words
         rolled[: len(hashed) - j] = rolled[: len(hashed) - j] * np.uint64(C.BASE) + hashed[j:]
     at = np.flatnonzero(np.arange(len(hashed)) + WINDOW <= np.repeat(bounds[1:], counts))
     _, size = _repeats(rolled[at], row[at])
