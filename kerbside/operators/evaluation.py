@@ -1,17 +1,20 @@
 """Scores of predicted events and risk curves against ground truth.
 
-Events: (video_id, ord, start, end, label). Candidate pairs come from an interval join; the greedy one-to-one match runs
-per video and label in a grouped-map step, whose groups are one video's events of one label.
+Events: (video_id, ord, start, end, label). Candidate pairs come from an interval join; the greedy one-to-one match is
+one pass over rows sorted by video and label, so no group is held as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kerbside.functions.geometry import interval_iou
+from kerbside.operators.temporal import overlap_join
 
 KEYS = ["video_id", "label"]
 THRESHOLDS = (0.3, 0.5, 0.7)
@@ -24,29 +27,33 @@ def f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     return p, r, ratio(2 * p * r, p + r)
 
 
-def match_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of overlapping events with their IoU."""
+def match_pairs(truth: DataFrame, predicted: DataFrame, keys: list[str], width: float = 60.0) -> DataFrame:
+    """Pairs of overlapping events with their IoU. width: of a time bucket, about an event's length."""
     a = truth.select(*keys, F.col("ord").alias("i"), F.col("start").alias("s0"), F.col("end").alias("e0"))
     b = predicted.select(*keys, F.col("ord").alias("j"), F.col("start").alias("s1"), F.col("end").alias("e1"))
-    joined = a.join(b, keys).where((F.col("s0") < F.col("e1")) & (F.col("s1") < F.col("e0")))
+    joined = overlap_join(a, b, keys, ("s0", "e0"), ("s1", "e1"), width, (F.col("s0") < F.col("e1")) & (F.col("s1") < F.col("e0")))
     return joined.withColumn("iou", interval_iou((F.col("s0"), F.col("e0")), (F.col("s1"), F.col("e1")))).select(*keys, "i", "j", "iou")
 
 
-def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-    """One-to-one pairs, the largest IoU first; of equal ones the larger indices."""
-    used_i, used_j, kept = set(), set(), []
-    for row in pairs.sort_values(["iou", "i", "j"], ascending=False).itertuples():
-        if row.i not in used_i and row.j not in used_j:
-            used_i.add(row.i)
-            used_j.add(row.j)
-            kept.append(row.Index)
-    return pairs.loc[kept]
+def greedy(pairs: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """One-to-one pairs of each key, of rows that come by key with the largest IoU first."""
+    at, used_i, used_j = None, set(), set()
+    for part in pairs:
+        kept = []
+        for n, (i, j, *key) in enumerate(zip(*(part[c].tolist() for c in ("i", "j", *keys)), strict=True)):
+            if key != at:
+                at, used_i, used_j = key, set(), set()
+            if i not in used_i and j not in used_j:
+                used_i.add(i)
+                used_j.add(j)
+                kept.append(n)
+        yield part.iloc[kept]
 
 
 def matches(truth: DataFrame, predicted: DataFrame, threshold: float, keys: list[str]) -> DataFrame:
+    """Pairs matched one to one, the largest IoU first; of equal ones the larger indices."""
     pairs = match_pairs(truth, predicted, keys).where(F.col("iou") >= threshold)
-    kinds = dict(pairs.dtypes)
-    return pairs.groupBy(*keys).applyInPandas(lambda x: greedy(x), ", ".join(f"`{c}` {kinds[c]}" for c in pairs.columns))
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, F.desc("iou"), F.desc("i"), F.desc("j")).mapInPandas(lambda x: greedy(x, keys), pairs.schema)
 
 
 def event_scores(truth: DataFrame, predicted: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
@@ -123,19 +130,20 @@ def alarm_matches(truth: DataFrame, found: DataFrame) -> DataFrame:
     return both.groupBy("video_id").applyInPandas(lambda x: match_alarms(x), "video_id string, accident double, alarm double")
 
 
-def clean_events(events: pd.DataFrame) -> pd.DataFrame:
-    """Drops events that overlap an earlier kept one of their label."""
-    kept, last = [], None
-    for row in events.sort_values(["start", "end"]).itertuples():
-        if last is None or row.start >= last:
-            kept.append(row.Index)
-            last = row.end
-    return events.loc[kept]
+def clean_events(events: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Drops events that overlap an earlier kept one of their label, of rows that come by key and time."""
+    at, last = None, None
+    for part in events:
+        kept = []
+        for n, (start, end, *key) in enumerate(zip(*(part[c].tolist() for c in ("start", "end", *KEYS)), strict=True)):
+            if key != at or start >= last:
+                at, last = key, end
+                kept.append(n)
+        yield part.iloc[kept]
 
 
 def drop_overlaps(events: DataFrame) -> DataFrame:
-    kinds = dict(events.dtypes)
-    return events.groupBy(*KEYS).applyInPandas(lambda x: clean_events(x), ", ".join(f"`{c}` {kinds[c]}" for c in events.columns))
+    return events.repartition(*KEYS).sortWithinPartitions(*KEYS, "start", "end").mapInPandas(clean_events, events.schema)
 
 
 def violations(predicted: DataFrame, curve: DataFrame, videos: DataFrame, labels: list[str]) -> DataFrame:

@@ -43,21 +43,41 @@ def line_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observed(spark, sf_dir).select("video_id", p.alias("p")).groupBy("video_id", F.col("p.on").alias("on"), F.signum("p.side").cast("int").alias("side")).agg(F.count("*").alias("n"))
 
 
+def _predictions(truth: DataFrame) -> DataFrame:
+    """Two of three events, shifted."""
+    return truth.where("ord % 3 > 0").withColumn("start", F.col("start") + F.col("ord") % 40).withColumn("end", F.col("end") + F.col("ord") % 17).where("end > start")
+
+
+def whole_truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All orders as events of their customer's video, and shifted ones as predictions."""
+    rows = intervals(spark, sf_dir).select(F.col("cust").cast("string").alias("video_id"), F.col("flag").alias("label"), F.col("order").alias("ord"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).where("end > start")
+    return rows, _predictions(rows)
+
+
 def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as events of their customer's nation; every other one as truth, and shifted ones as predictions."""
+    """As in the SQL: one of 23 orders as events of their customer's nation, and shifted ones as predictions."""
     nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").cast("string").alias("video_id"))
     rows = intervals(spark, sf_dir).where("order % 23 = 0").join(nation, "cust").select("video_id", F.col("flag").alias("label"), F.col("order").alias("ord"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).where("end > start")
-    return rows, rows.where("ord % 3 > 0").withColumn("start", F.col("start") + F.col("ord") % 40).withColumn("end", F.col("end") + F.col("ord") % 17).where("end > start")
+    return rows, _predictions(rows)
 
 
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = V.event_scores(*_truth(spark, sf_dir))
+    s = V.event_scores(*whole_truth(spark, sf_dir))
     return s.select(F.coalesce("label", F.lit("all")).alias("label"), F.round(F.col("threshold") * 10).cast("bigint").alias("threshold10"), *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
 
 
+def _candidates(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    return V.match_pairs(truth, predicted, V.KEYS).where("iou >= 0.5").groupBy("label").agg(F.count("*").alias("pairs"), F.count_distinct("i").alias("truths"), F.sum(F.floor(F.col("iou") * 1000 + 1e-6).cast("bigint")).alias("iou1000"))
+
+
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of true and predicted events with at least half in common."""
-    return V.match_pairs(*_truth(spark, sf_dir), V.KEYS).where("iou >= 0.5").groupBy("label").agg(F.count("*").alias("pairs"), F.count_distinct("i").alias("truths"), F.sum(F.floor(F.col("iou") * 1000 + 1e-6).cast("bigint")).alias("iou1000"))
+    return _candidates(*_truth(spark, sf_dir))
+
+
+def match_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all orders."""
+    return _candidates(*whole_truth(spark, sf_dir))
 
 
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +116,16 @@ def rate_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heat_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = intervals(spark, sf_dir).where("order % 10 = 0").withColumnRenamed("flag", "label")
-    return A.heat_strip(rows.where("start between 0 and 2600 and end <= 2600"), ["cust"], F.lit(2600)).select("cust", F.col("bin").cast("bigint").alias("bin"), "n", "labels")
+    return _strips(intervals(spark, sf_dir).where("order % 10 = 0"))
+
+
+def heat_strip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all orders."""
+    return _strips(intervals(spark, sf_dir))
+
+
+def _strips(rows: DataFrame) -> DataFrame:
+    return A.heat_strip(rows.withColumnRenamed("flag", "label").where("start between 0 and 2600 and end <= 2600"), ["cust"], F.lit(2600)).select("cust", F.col("bin").cast("bigint").alias("bin"), "n", "labels")
 
 
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +188,8 @@ def prop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "box_pairs": box_pairs, "in_zone": in_zone, "line_side": line_side, "event_scores": event_scores, "match_candidates": match_candidates, "average_precision": average_precision, "alarm_starts": alarm_starts, "alarm_shares": alarm_shares,
-    "events_per_class": events_per_class, "counts_by_day": counts_by_day, "rate_per_day": rate_per_day, "heat_strip": heat_strip, "levels": levels, "clock_times": clock_times, "longest_events": longest, "ablation_delta": ablation_delta,
+    "box_pairs": box_pairs, "in_zone": in_zone, "line_side": line_side, "event_scores": event_scores, "match_candidates": match_candidates, "match_candidates_whole": match_candidates_whole, "average_precision": average_precision, "alarm_starts": alarm_starts, "alarm_shares": alarm_shares,
+    "events_per_class": events_per_class, "counts_by_day": counts_by_day, "rate_per_day": rate_per_day, "heat_strip": heat_strip, "heat_strip_whole": heat_strip_whole, "levels": levels, "clock_times": clock_times, "longest_events": longest, "ablation_delta": ablation_delta,
     "percentiles": percentiles, "otsu_threshold": otsu, "label_sets": label_sets, "violations": violations, "prop_counts": prop_counts,
 }
 

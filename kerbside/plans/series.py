@@ -101,8 +101,17 @@ def interval_stab(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as raw events of their nation's video, cleaned up: clipped, merged per label, short ones dropped."""
     nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").cast("string").alias("video_id"))
-    raw = intervals(spark, sf_dir).where("order % 29 = 0").join(nation, "cust").select("video_id", "start", "end", F.col("flag").alias("label"), F.array(F.col("order").cast("bigint")).alias("tids"))
-    videos = nation.select("video_id").distinct().withColumn("duration", F.lit(2000).cast("bigint"))
+    return _final(intervals(spark, sf_dir).where("order % 29 = 0").join(nation, "cust"))
+
+
+def final_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all orders, as raw events of their customer's video."""
+    return _final(intervals(spark, sf_dir).withColumn("video_id", F.col("cust").cast("string")))
+
+
+def _final(rows: DataFrame) -> DataFrame:
+    raw = rows.select("video_id", "start", "end", F.col("flag").alias("label"), F.array(F.col("order").cast("bigint")).alias("tids"))
+    videos = rows.select("video_id").distinct().withColumn("duration", F.lit(2000).cast("bigint"))
     out = Q.finalize(raw, videos, {"A": 5.0, "N": 0.0}, {"A": 30.0})
     return out.select("video_id", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "label", F.size("tids").cast("bigint").alias("n_tids"))
 
@@ -126,7 +135,7 @@ def signal_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "runs": runs, "enter_leave": enter_leave, "hysteresis": hysteresis, "line_crossings_1d": crossings, "trailing_minimum": trailing_minimum, "decayed_peak": decayed_peak, "k_of_n": k_of_n, "held": held,
     "sessions": session_windows, "nearest_asof": _asof("nearest"), "forward_asof": _asof("forward"), "backward_asof": _asof("backward"), "forward_asof_clamped": _asof("forward", True),
-    "merge_segments": merged_intervals, "overlap_join": overlap_join, "interval_stab": interval_stab, "finalize": final_events, "thinned": thinned, "signal_age": signal_age,
+    "merge_segments": merged_intervals, "overlap_join": overlap_join, "interval_stab": interval_stab, "finalize": final_events, "finalize_whole": final_events_whole, "thinned": thinned, "signal_age": signal_age,
 }
 
 _RUNS = """g AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER w <= {gap} THEN 0 ELSE 1 END AS fresh FROM ev WHERE {flag} WINDOW w AS (PARTITION BY user_id ORDER BY t_us)),
