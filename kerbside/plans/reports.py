@@ -174,13 +174,27 @@ def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of predictions and of the users' curves. As in the SQL, the videos are those with a prediction."""
     _, predicted = _truth(spark, sf_dir)
     videos = predicted.select("video_id").distinct().withColumn("duration", F.lit(2300.0))
-    curve = curves(spark, sf_dir).where("video_id < '3'").withColumn("ord", F.floor(F.col("t") * 3600).cast("bigint"))
-    found = V.violations(predicted, curve.limit(0), videos, ["A", "N"])
+    found = V.violations(predicted, _scored(spark, sf_dir), videos, ["A", "N"])
     return found.groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def violations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all orders, in all customers' videos."""
+    _, predicted = whole_truth(spark, sf_dir)
+    videos = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("video_id"), F.lit(2300.0).alias("duration"))
+    found = V.violations(predicted, _scored(spark, sf_dir), videos, ["A", "N"])
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' curves in the order of the events' ids; a missing value stays a missing score."""
+    score = F.when(F.col("value100").isNotNull(), F.least(F.col("value100") / 10000, F.lit(1.0)))
+    return event_series(spark, sf_dir).select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("ord"), F.col("t_us").alias("t"), score.alias("score"))
+
+
 def prop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of a key of the events' JSON."""
     k = F.from_json("props", "map<string,string>")
@@ -190,7 +204,7 @@ def prop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "box_pairs": box_pairs, "in_zone": in_zone, "line_side": line_side, "event_scores": event_scores, "match_candidates": match_candidates, "match_candidates_whole": match_candidates_whole, "average_precision": average_precision, "alarm_starts": alarm_starts, "alarm_shares": alarm_shares,
     "events_per_class": events_per_class, "counts_by_day": counts_by_day, "rate_per_day": rate_per_day, "heat_strip": heat_strip, "heat_strip_whole": heat_strip_whole, "levels": levels, "clock_times": clock_times, "longest_events": longest, "ablation_delta": ablation_delta,
-    "percentiles": percentiles, "otsu_threshold": otsu, "label_sets": label_sets, "violations": violations, "prop_counts": prop_counts,
+    "percentiles": percentiles, "otsu_threshold": otsu, "label_sets": label_sets, "violations": violations, "violations_whole": violations_whole, "prop_counts": prop_counts,
 }
 
 _TRUTH = f"""{_IV}, tr AS (SELECT c_nationkey::VARCHAR AS video_id, flag AS label, "order" AS ord, start::DOUBLE AS start, "end"::DOUBLE AS "end" FROM iv JOIN customer ON cust = c_custkey WHERE "order" % 23 = 0 AND "end" > start),

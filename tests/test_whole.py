@@ -103,3 +103,26 @@ def test_heat_strip(spark, orders):
                 want[r["cust"], k].append(r["flag"])
     got = {(r["cust"], r["bin"]): (r["n"], r["labels"]) for r in registry.QUERIES["heat_strip_whole"](spark, SF).collect()}
     assert got == {k: (len(v), ",".join(sorted(set(v)))) for k, v in want.items()}
+
+
+def test_violations_of_curves_and_videos(spark, truth, tmp_path):
+    """Bad scores, times that go back, orders of unknown customers and customers without predictions are reported."""
+    for t in ("orders", "lineitem"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    customers = spark.read.parquet(f"{SF}/customer.parquet")
+    gone = min(int(v) for (v, _), (_, b) in truth.items() if b)
+    customers.where(f"c_custkey <> {gone}").write.parquet(str(tmp_path / "customer.parquet"))
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    bad = "CASE WHEN event_id % 100 = 1 THEN NULL WHEN event_id % 100 = 2 THEN -value - 1 ELSE value END"
+    late = "CASE WHEN event_id % 100 = 3 THEN ts + INTERVAL 400 DAYS ELSE ts END"
+    events.selectExpr("event_id", "user_id", f"{late} AS ts", "event_type", f"{bad} AS value", "props").write.parquet(str(tmp_path / "events.parquet"))
+    rows = events.select("event_id", "user_id").orderBy("user_id", "event_id").collect()
+    back = sum(a["user_id"] == b["user_id"] and a["event_id"] % 100 == 3 and b["event_id"] % 100 != 3 for a, b in zip(rows, rows[1:]))
+    scoreless = sum(b["event_id"] % 100 in (1, 2) and not (i and rows[i - 1]["user_id"] == b["user_id"] and rows[i - 1]["event_id"] % 100 == 3) for i, b in enumerate(rows))
+    predicted = {v: sum(len(g[1]) for (w, _), g in truth.items() if w == v) for v, _ in truth}
+    got = {r["problem"]: r["n"] for r in registry.QUERIES["violations_whole"](spark, str(tmp_path)).collect()}
+    part = {r["problem"]: r["n"] for r in registry.QUERIES["violations"](spark, str(tmp_path)).collect()}
+    for found in (got, part):
+        assert (found["time goes back"], found["no score"]) == (back, scoreless) and back and scoreless
+    assert got["unknown video"] == predicted[str(gone)]
+    assert got["no prediction"] == sum(not predicted.get(str(r["c_custkey"])) for r in customers.collect() if r["c_custkey"] != gone)
