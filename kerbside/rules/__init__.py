@@ -41,6 +41,7 @@ class Context:
     prior: tuple[DataFrame, DataFrame] | None = None  # grid and heading votes in place of the video's own
     signals: DataFrame | None = None  # video_id, signal, t, red
     fire: tuple[DataFrame, DataFrame] | None = None  # samples (video_id, t), boxes (video_id, t, x1, y1, x2, y2, conf, cls)
+    pixels: tuple[DataFrame, int, int] | None = None  # thumbnails (video_id, t, px, py, gray) at 1 Hz, their width and height
     width: float = 1280.0
     height: float = 720.0
 

@@ -59,27 +59,60 @@ def stopped_vehicle(ctx: Context, least_seconds: float = 10.0, neighbour: float
 
 
 @rule("road_obstacle")
-def road_obstacle(ctx: Context) -> DataFrame:
-    """Animals on the road for a second or more. (Changes of the picture come in as rows of `changed_frames`.)"""
+def road_obstacle(ctx: Context, least_seconds: float = 5.0, before: float = 4.0) -> DataFrame:
+    """Animals on the road for a second or more, and lasting changes of the picture there."""
     animals = on_road(ctx, ctx.cells.where("kind = 'animal'"))
-    found = runs(animals, TRACK, "t", "on_road", 1.0).where(F.col("end") - F.col("start") >= 1.0)
-    return events(found, "road_obstacle")
-
-
-def changed_frames(pixels: DataFrame, width: int, height: int, threshold: float = 28.0, window: int = 9, least: float = 0.0006, most: float = 0.05) -> DataFrame:
-    """Frames (video_id, t) in which a part of the picture has changed for good.
-
-    pixels: (video_id, t, px, py, gray). A pixel has changed if the median of its last `window` frames differs from its
-    median over all frames; counted are pixels whose 3 x 3 neighbourhood has changed as a whole (an opening's erosion).
+    found = events(runs(animals, TRACK, "t", "on_road", 1.0).where(F.col("end") - F.col("start") >= 1.0), "road_obstacle")
+    if ctx.pixels is None:
+        return found
+    lasting = runs(changed_frames(ctx), ["video_id"], "t", F.lit(True), 3.0).where(F.col("end") - F.col("start") >= least_seconds)
+    return found.unionByName(events(lasting.withColumn("start", F.greatest(F.lit(0.0), F.col("start") - before)), "road_obstacle", F.array().cast("array<bigint>")))
+
+
+def has_blob(pixels: set[tuple[int, int]], width: int, height: int, least: float, most: float) -> bool:
+    """Whether, after an opening by 3 x 3, a connected part covers a share between `least` and `most` of the picture."""
+    near = lambda p: [(p[0] + dx, p[1] + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if 0 <= p[0] + dx < width and 0 <= p[1] + dy < height]
+    left = {q for p in pixels if all(x in pixels for x in near(p)) for q in near(p)}
+    while left:
+        todo, n = [left.pop()], 0
+        while todo:
+            n += 1
+            new = left.intersection(near(todo.pop()))
+            left -= new
+            todo += new
+        if least <= n / (width * height) <= most:
+            return True
+    return False
+
+
+def changed_frames(ctx: Context, threshold: float = 28.0, window: int = 8, least: float = 0.0006, most: float = 0.05, light: float = 0.15) -> DataFrame:
+    """Frames (video_id, t) whose last `window` + 1 frames differ from the whole video by a blob on the road, away from users.
+
+    Not judged are videos of under 2 * window frames and times whose mean brightness is more than `light` off the video's typical one.
     """
-    own = Window.partitionBy("video_id", "px", "py")
-    norm = Window.partitionBy("video_id", "t")
-    flat = pixels.withColumn("g", (F.col("gray") - F.avg("gray").over(norm)) / (F.stddev_pop("gray").over(norm) + 1e-6) * 40 + 128)
-    last = F.percentile("g", F.lit(0.5)).over(own.orderBy("t").rowsBetween(-(window - 1), 0))
-    moved = flat.withColumn("_d", F.abs(last - F.percentile("g", F.lit(0.5)).over(own))).where(F.col("_d") > threshold).select("video_id", "t", "px", "py")
-    near = moved.select("video_id", "t", "px", "py", S.offsets().alias("o")).groupBy("video_id", "t", (F.col("px") + F.col("o.dc")).alias("px"), (F.col("py") + F.col("o.dr")).alias("py")).agg(F.count("*").alias("n")).where("n = 9")
-    share = near.groupBy("video_id", "t").agg((F.count("*") / (width * height)).alias("share"))
-    return share.where(F.col("share").between(least, most)).select("video_id", "t")
+    pixels, w, h = ctx.pixels
+    own, image = Window.partitionBy("video_id", "px", "py").orderBy("t"), lambda *keys: Window.partitionBy("video_id", *keys)
+    norm = lambda c, over: (F.col(c) - F.avg(c).over(over)) / (F.stddev_pop(c).over(over) + 1e-6) * 40 + 128
+    luma = pixels.groupBy("video_id", "t").agg(F.avg("gray").alias("luma"))
+    frames = image().orderBy("t")
+    luma = luma.withColumns({"i": F.row_number().over(frames), "n": F.count("*").over(image()), "now": F.avg("luma").over(frames.rowsBetween(-window, 0)), "typical": F.percentile("luma", F.lit(0.5)).over(image())})
+    judged = luma.where((F.col("i") > window) & (F.col("n") >= 2 * window) & (F.abs(F.col("now") - F.col("typical")) <= light * F.col("typical"))).select("video_id", "t")
+    whole = pixels.groupBy("video_id", "px", "py").agg(F.percentile("gray", F.lit(0.5)).alias("g")).withColumn("ref", norm("g", image())).drop("g")
+    short = pixels.withColumn("g", F.percentile("gray", F.lit(0.5)).over(own.rowsBetween(-window, 0))).join(judged, ["video_id", "t"]).withColumn("short", norm("g", image("t")))
+    moved = short.join(whole, ["video_id", "px", "py"]).where(F.abs(F.col("short") - F.col("ref")) > threshold).select("video_id", "t", "px", "py")
+    placed = moved.withColumn("x", F.col("px") * (ctx.width / w)).withColumn("y", F.col("py") * (ctx.height / h))
+    there = on_road(ctx, S.with_cells(placed, ctx.width, ctx.height)).where("on_road").select("video_id", "t", "px", "py").withColumn("_slot", F.floor(F.col("t") / window))
+    users = ctx.obs.select("video_id", F.col("t").alias("ut"), *[(F.col(c) * k).cast("int").alias(f"u{c}") for c, k in zip(BOX, (w / ctx.width, h / ctx.height) * 2, strict=True)])
+    users = users.withColumn("_slot", F.explode(F.sequence(F.floor(F.col("ut") / window) - 1, F.floor(F.col("ut") / window) + 1)))
+    covered = (F.abs(F.col("t") - F.col("ut")) <= window) & F.col("px").between(F.col("ux1"), F.col("ux2")) & F.col("py").between(F.col("uy1"), F.col("uy2"))
+    free = there.join(users.withColumnsRenamed({"video_id": "_v", "_slot": "_s"}), (F.col("video_id") == F.col("_v")) & (F.col("_slot") == F.col("_s")) & covered, "left_anti")
+
+    def blobs(frame: pd.DataFrame) -> pd.DataFrame:
+        hit = has_blob(set(zip(frame.px.tolist(), frame.py.tolist(), strict=True)), w, h, least, most)
+        return frame.loc[:, ["video_id", "t"]].head(int(hit))
+
+    # a group is one picture
+    return free.groupBy("video_id", "t").applyInPandas(blobs, "video_id string, t double")
 
 
 @rule("fire_smoke")

@@ -1,4 +1,4 @@
-"""Streams: tracking with state, causal risk per micro-batch, and sessions with a watermark."""
+"""Streams: tracking with state, and sessions with a watermark."""
 
 from __future__ import annotations
 
