@@ -1,8 +1,9 @@
 """Connected components by distributed union-find.
 
 Each partition first contracts its own edges by a local union-find, which leaves a forest; then alternating large-star and
-small-star steps (joins and minima, each cut by a checkpoint) hook every tree to the smallest id reachable until nothing
-changes. The driver sees two numbers for each round.
+small-star steps hook every tree to the smallest id reachable until nothing changes. A node with very many larger
+neighbours isn't dealt to one task: there are at most HOT_NODES of them, their smallest neighbours are broadcast, and their
+edges are rewritten where they lie. Each round is cut by a checkpoint; the driver sees that bounded table and one number.
 """
 
 from __future__ import annotations
@@ -14,6 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm.common import spread
+
+#: A node is hot if it has more than 1 in HOT_NODES of all edges, and more than HOT_EDGES: so there are at most HOT_NODES.
+HOT_NODES, HOT_EDGES = 2048, 256
+SALTS = 32
+
 
 def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Local union-find: the edges (a, b) of a partition become edges to the smallest id of their local component."""
@@ -53,7 +60,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarr
         fresh[1:] |= b[1:] != b[:-1]
         first = b[np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
         if last is not None and a[0] == last[0]:
-            own = int(np.argmax(a != a[0])) or len(a) if (a != a[0]).any() else len(a)
+            own = int(np.argmax(a != a[0])) if (a != a[0]).any() else len(a)
             first = first.copy()
             first[:own] = last[1]
             fresh[0] = b[0] != last[2]
@@ -76,17 +83,49 @@ def small_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.where(other, b, a)), pa.array(first), pa.array(other | marked)], ["a", "b", "changed"])
 
 
+def hot(rows: DataFrame, key: str) -> DataFrame | None:
+    """The at most HOT_NODES values of a column that very many rows have; None without any. rows: on disk already."""
+    most = max(HOT_EDGES, rows.count() // HOT_NODES)
+    found = rows.groupBy(key).count().where(F.col("count") > most).select(key).checkpoint()
+    return None if found.isEmpty() else found
+
+
+def salted_join(rows: DataFrame, side: DataFrame, keys: str | list[str], other: str, often: DataFrame | None) -> DataFrame:
+    """rows joined with `side`, which has one row for each key: rows of the hot keys (`often`, by the first of them) are spread by `other`, and these few rows of `side` repeated."""
+    keys = [keys] if isinstance(keys, str) else keys
+    key = keys[0]
+    if often is None:
+        return rows.join(side, keys)
+    often = F.broadcast(often.withColumn("is_hot", F.lit(True)))
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0).cast("int")
+    spread_rows = rows.join(often, key, "left").withColumn("salt", salt).drop("is_hot")
+    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread_side = side.join(often, key, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
+    return spread_rows.join(spread_side, [*keys, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every id that an edge (a, b) of longs names and that isn't its component's smallest.
 
     Null ends and loops link nothing; repeated edges do no harm; without edges the result is empty.
     """
     schema = "a bigint, b bigint, changed boolean"
-    e = edges.select("a", "b").where("a <> b").mapInArrow(contract, "a bigint, b bigint").withColumn("changed", F.lit(False))
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = spread(edges)
+    e = edges.select("a", "b").where("a <> b").mapInArrow(contract, "a bigint, b bigint").withColumn("changed", F.lit(False)).checkpoint()
     while True:
-        both = e.select("a", "b", F.explode(F.array(F.lit(False), F.lit(True))).alias("turned")).select(F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("b"))
+        often, moved, turns = hot(e, "b"), None, F.array(F.lit(False), F.lit(True))
+        dealt = e
+        if often is not None:
+            # the larger neighbours of a hot node go to its smallest neighbour without an exchange
+            at = often.select(F.col("b").alias("h"))
+            least = e.join(F.broadcast(at), F.col("a") == F.col("h")).groupBy("h").agg(F.min("b").alias("m"))
+            dealt = e.join(F.broadcast(at.join(least, "h", "left")), F.col("b") == F.col("h"), "left")
+            moved = dealt.where("h IS NOT NULL").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("changed"))
+            turns = F.when(F.col("h").isNull(), turns).otherwise(F.array(F.lit(False)))
+        turned = dealt.select("a", "b", F.explode(turns).alias("turned"))
+        both = turned.select(F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("b"))
         large = both.repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(large_star, schema)
+        large = large if moved is None else large.union(moved)
         e = large.repartition(n, "a").sortWithinPartitions("a", "b", F.desc("changed")).mapInArrow(small_star, schema).checkpoint()
         if not e.agg(F.max("changed")).first()[0]:
             break

@@ -1,22 +1,21 @@
 """Near-duplicate documents by b-bit MinHash.
 
-A document's set holds the hashes of its distinct word shingles. Documents with the same set are one class, and only
-its smallest id goes on. Each class has N_HASHES minima; bands of ROWS of them propose candidate pairs, and of each
-minimum the low BITS bits are kept, packed in longs: the share of equal groups, corrected for chance collisions, estimates
+A document's set holds the hashes of its distinct word shingles. Documents with the same set are one class, told by a 128-bit
+digest of the set, and only classes go on. Each class has minima; bands of ROWS of them propose candidate pairs, and of each
+minimum the low bits are kept, packed in longs: the share of equal groups, corrected for chance collisions, estimates
 the similarity and rules out hopeless pairs. The rest is confirmed on the full sets. Components come from a distributed
 union-find.
 
 At a similarity of exactly 0.75, all 32 bands miss a pair in 5 of a million cases.
 
 Edge cases: a null, empty or blank text has an empty set and links with nothing; a row with a null doc_id is returned with
-a null component and kept; repeated rows and ids share the class of their set; other columns don't matter; an empty table
-gives an empty result.
+a null component and kept; repeated rows share the class of their set, and rows with one doc_id but different texts are told apart by their sets: each
+has the component of its own text; other columns don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,108 +23,65 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm import common as C
-from kerbside.llm.components import labelled
-from kerbside.llm.neardup import SHARES, candidates, compressed, deal, link
+from kerbside.llm.components import hot, labelled, salted_join
+from kerbside.llm.neardup import N_BITS, band_keys, bits_column, candidates, compressed, dealt, link, minima
 
 SIZE, PERCENT = 5, 75
-BANDS, ROWS, BITS = 32, 4, 4
-N_HASHES = BANDS * ROWS
-PER_LONG = 64 // BITS
-LONGS = N_HASHES // PER_LONG
-#: Pairs whose estimate is below this aren't verified: 6 standard errors under 0.75.
-LEAST_ESTIMATE = 0.75 - 6 * (0.75 * 0.25 / N_HASHES) ** 0.5
-
-
-def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd factors and offsets of n permutations of 32-bit numbers."""
-    x = C.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(C.BASE)).astype(np.uint32)
-    return x[:n] | np.uint32(1), x[n:]
-
-
-def minima(values: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
-    """n minima of each row's values (rows x n); the largest number for an empty row."""
-    x = (values >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(bounds) - 1, n), np.uint32)
-    for k, (a, b) in enumerate(zip(*multipliers(n), strict=True)):
-        out[:, k] = C.reduced(np.minimum, x * a + b, bounds, np.uint32(0xFFFFFFFF))
-    return out
-
-
-def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A 64-bit key for each band (rows x bands)."""
-    x = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(mins), bands)).copy()
-    by_band = mins.reshape(len(mins), bands, rows).astype(np.uint64)
-    for r in range(rows):
-        x = C.mix(x * np.uint64(C.BASE) + by_band[:, :, r])
-    return x
-
-
-def pack_bits(mins: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, packed (rows x LONGS)."""
-    low = (mins & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(mins), LONGS, PER_LONG)
-    return np.bitwise_or.reduce(low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
+BANDS, ROWS = 32, 4
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the set's digest (d1, d2), packed bits and band keys of each row."""
-    schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bits array<bigint>, bands binary"
+    """doc_id, n_shingles, the set's digest (d1, d2), the text's (t1, t2), packed bits and minima of each row."""
+    schema = "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, t1 bigint, t2 bigint, bits array<bigint>, mins binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in C.chunks(batch.column(1)):
                 values, bounds = C.shingles(data, offsets, SIZE)
-                mins = minima(values, bounds, N_HASHES)
+                mins = minima(values, bounds, max(N_BITS, BANDS * ROWS))
                 d1, d2 = (C.reduced(np.add, C.mix(values + np.uint64(salt)), bounds, np.uint64(0)).view(np.int64) for salt in (1, 2))
-                keys = band_keys(mins, BANDS, ROWS)
-                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, len(mins) * LONGS + 1, LONGS), pa.int32()), pa.array(pack_bits(mins).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2), bits, C.binary([k.tobytes() for k in keys])], ["doc_id", "n_shingles", "d1", "d2", "bits", "bands"])
+                t = C.digests(data, offsets)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(bounds)), *map(pa.array, (d1, d2, t[:, 0], t[:, 1])), bits_column(mins[:, :N_BITS]), C.binary([m.tobytes() for m in mins[:, : BANDS * ROWS]])], ["doc_id", "n_shingles", "d1", "d2", "t1", "t2", "bits", "mins"])
 
     return C.with_defaults(docs, doc_id="bigint", text="string").mapInArrow(run, schema)
 
 
-def dealt_bands(classes: DataFrame) -> DataFrame:
-    parts = SHARES * C.spread(classes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64)
-            ids = np.repeat(np.asarray(batch.column(0)), BANDS)
-            rows = list(deal(keys, parts, ids)) if len(keys) else []
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), C.binary([x[0] for _, x in rows]), C.binary([x[1] for _, x in rows])], ["part", "keys", "ids"])
+def compressed_texts(docs: DataFrame) -> DataFrame:
+    """(first, t1, t2, z): the compressed texts with their doc_id and digest."""
 
-    return classes.select("id", "bands").mapInArrow(run, "part int, keys binary, ids binary")
+    def named(batch: pa.RecordBatch) -> np.ndarray:
+        return np.column_stack((np.asarray(batch.column(0)), C.digests(*C.text_bytes(batch.column(1)))))
 
-
-def estimate(x: str, y: str):
-    """The similarity by equal groups of bits, corrected for chance: a native expression over two arrays of longs."""
-    ones = F.lit(int("1" * PER_LONG, 16))
-    differ = F.lit(0)
-    for i in range(1, LONGS + 1):
-        z = F.element_at(x, i).bitwiseXOR(F.element_at(y, i))
-        z = reduce(lambda a, s: a.bitwiseOR(F.shiftrightunsigned(a, s)), (1, 2), z)
-        differ = differ + F.bit_count(z.bitwiseAND(ones))
-    chance = 2.0**-BITS
-    return (1 - differ / N_HASHES - chance) / (1 - chance)
+    own = C.with_defaults(docs, doc_id="bigint", text="string").where("doc_id is not null")
+    return compressed(own, named, "first bigint, t1 bigint, t2 bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     rows = signatures(docs).checkpoint()
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bits", "bands"), "doc_id").alias("s")).select("d1", "d2", "id", "s.bits", "s.bands").checkpoint()
-    found = candidates(dealt_bands(classes)).checkpoint()
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("t1", "t2", "bits", "mins"), F.struct("doc_id", "t1", "t2")).alias("s"))
+    # classes are numbered in the order of their first documents, so a component's smallest number is its smallest document
+    classes = classes.select("d1", "d2", "first", "s.*").repartitionByRange(C.spread(docs), "first", "d1", "d2").sortWithinPartitions("first", "d1", "d2").withColumn("id", F.monotonically_increasing_id()).checkpoint()
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        a, b = classes.select(F.col("id").alias("a"), F.col("bits").alias("x")), classes.select(F.col("id").alias("b"), F.col("bits").alias("y"))
-        return pairs.join(a, "a").join(b, "b").where(estimate("x", "y") >= LEAST_ESTIMATE).select("a", "b")
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        return band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS), BANDS, ROWS)
 
-    def texts(ids: DataFrame) -> DataFrame:
-        own = C.with_defaults(docs, doc_id="bigint", text="string")
-        return compressed(own).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    found = candidates(dealt(classes.select("id", "mins"), keys)).checkpoint()
 
-    comps = link(found, texts, lambda data, offsets: C.shingles(data, offsets, SIZE), PERCENT, plausible)
-    labels = labelled(classes.select("d1", "d2", "id"), comps).select("d1", "d2", F.col("component"))
-    own = F.when(F.col("n_shingles") > 0, F.col("component"))
-    return rows.select("doc_id", "n_shingles", "d1", "d2").join(labels, ["d1", "d2"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "doc_id"))).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    def texts(ids: DataFrame) -> DataFrame:
+        wanted = classes.join(ids, "id").select("first", "t1", "t2", "id", "bits")
+        return compressed_texts(docs).join(wanted, ["first", "t1", "t2"]).dropDuplicates(["id"]).select("id", "bits", "z")
+
+    comps = link(found, texts, lambda data, offsets: C.shingles(data, offsets, SIZE), PERCENT)
+    named = labelled(classes.select("id", "d1", "d2", "first"), comps).select("id", "d1", "d2", "component").where("id <> component").checkpoint()
+    first = named.select("component").distinct().join(classes.select(F.col("id").alias("component"), F.col("first").alias("least")), "component")
+    labels = salted_join(named, first, "component", "id", hot(named, "component")).select("d1", "d2", "least")
+    labels = classes.join(labels, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "first").alias("component_id"))
+    own = rows.select("doc_id", "n_shingles", "d1", "d2")
+    full = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
+    found = salted_join(own.where(full), labels, ["d1", "d2"], "doc_id", hot(own, "d1")).select("doc_id", "n_shingles", "component_id")
+    alone = own.where(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

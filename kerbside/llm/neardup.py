@@ -1,15 +1,18 @@
 """Links between near-duplicate items: band buckets, exact verification on full sets, and an exact way for large buckets.
 
-Items have a 64-bit id and band keys from MinHash. Band keys travel as packed arrays, one row for each (task, partition),
-so that a bucket costs 16 bytes a member. Buckets of up to SMALL members propose all their pairs. A larger bucket proposes
-stars around CENTRES members only; once these links are verified and joined into components, what is left are the
-buckets that still hold several components. There, the members outside the bucket's largest component are compared with
-all members, in cells of a bounded number of items, by exact set intersection. So no bucket is capped and none emits all its pairs.
+Items have a 64-bit id and band keys from MinHash. Band keys travel as packed arrays, one row for each (batch, part). A
+bucket of up to `small` members (SMALL, if the operator names no other number) proposes all its pairs. A larger one proposes stars around CENTRES members; this happens
+within each batch first, so that a key that very many items share brings only a few members of each batch to the task of
+its part. Once the links are verified and joined into components, what is left are large buckets that still hold several
+components. Their members are joined by their rarest shingles: two sets with a Jaccard similarity of t share one of the
+first (1 - t) n + 1 shingles in any common order, and in an order by frequency those of unlike members are nearly all their
+own. So no bucket is capped, none emits all its pairs, and no pair of a bucket is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,67 +21,213 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm import common as C
-from kerbside.llm.components import components, labelled, packed_edges
+from kerbside.llm.components import SALTS, components, hot, labelled, packed_edges, salted_join
 
-SMALL, CENTRES, CELL = 6, 3, 32
-#: Numbers of partitions by which band keys are dealt, for each of Spark's shuffle partitions (evens them out).
+SMALL, CENTRES = 6, 3
+#: Numbers of parts by which band keys are dealt, for each of Spark's shuffle partitions; a task holds one part at a time.
 SHARES = 4
-PAIR, MEMBER = 0, 1
+#: Items whose band keys are dealt at once.
+DEALT = 8192
+#: Kinds of rows: band entries to be gathered, such of centres of a batch's large buckets, a proposed pair, a member of a large bucket.
+BAND, CENTRE, PAIR, MEMBER = 0, 1, 2, 3
+#: Minima kept as b-bit values, how many bits of each, and longs that hold them.
+N_BITS, BITS = 128, 4
+PER_LONG = 64 // BITS
+LONGS = N_BITS // PER_LONG
+#: Shingle sets are compared by size classes, a class holding sizes up to a twentieth apart.
+CLASS = 1.05
 
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def deal(keys: np.ndarray, parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    """Packed (part, [keys, columns...]) of rows dealt by their keys."""
-    part = ((keys >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    arrays = [x[order] for x in (keys, *columns)]
-    for p in np.flatnonzero(np.diff(bounds)).tolist():
-        yield p, [x[bounds[p] : bounds[p + 1]].tobytes() for x in arrays]
-
-
-def bucket_pairs(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (a, b) of the buckets, and the (key, id) members of the buckets that only proposed stars."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids = keys[new], ids[new]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.append(starts, len(keys)))
-    size = np.repeat(sizes, sizes)
-    left, right = [], []
-    for d in range(1, SMALL):
-        at = np.flatnonzero((size[:-d] <= SMALL) & (keys[d:] == keys[:-d])) if len(keys) > d else np.zeros(0, int)
-        left.append(ids[at])
-        right.append(ids[at + d])
-    big = np.flatnonzero(sizes > SMALL)
-    for s, n in zip(starts[big].tolist(), sizes[big].tolist(), strict=True):
-        members = ids[s : s + n]
-        for c in range(CENTRES):
-            centre = members[0] if c == 0 else members[np.argmin(C.mix(members.view(np.uint64) + np.uint64(c)))]
-            left.append(np.full(n - 1, centre))
-            right.append(members[members != centre])
-    a, b = packed_edges(np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
-    return a, b, keys[size > SMALL].view(np.int64), ids[size > SMALL]
+def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets of n permutations of 32-bit numbers."""
+    x = C.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(C.BASE)).astype(np.uint32)
+    return x[:n] | np.uint32(1), x[n:]
+
+
+def minima(values: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
+    """n minima of each row's values (rows x n); the largest number for an empty row."""
+    x = (values >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(bounds) - 1, n), np.uint32)
+    for k, (a, b) in enumerate(zip(*multipliers(n), strict=True)):
+        out[:, k] = C.reduced(np.minimum, x * a + b, bounds, np.uint32(0xFFFFFFFF))
+    return out
+
+
+def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key for each band (rows x bands)."""
+    x = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(mins), bands)).copy()
+    by_band = mins.reshape(len(mins), bands, rows).astype(np.uint64)
+    for r in range(rows):
+        x = C.mix(x * np.uint64(C.BASE) + by_band[:, :, r])
+    return x
+
+
+def pack_bits(mins: np.ndarray) -> np.ndarray:
+    """The low bits of N_BITS minima, packed (rows x LONGS)."""
+    low = (mins & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(mins), LONGS, PER_LONG)
+    return np.bitwise_or.reduce(low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
+
+
+def bits_column(mins: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(mins) * LONGS + 1, LONGS), pa.int32()), pa.array(pack_bits(mins).ravel()))
+
 
+def estimate(x: str, y: str):
+    """The similarity by equal groups of bits, corrected for chance: a native expression over two arrays of longs."""
+    ones = F.lit(int("1" * PER_LONG, 16))
+    differ = F.lit(0)
+    for i in range(1, LONGS + 1):
+        z = F.element_at(x, i).bitwiseXOR(F.element_at(y, i))
+        z = reduce(lambda a, s: a.bitwiseOR(F.shiftrightunsigned(a, s)), (1, 2), z)
+        differ = differ + F.bit_count(z.bitwiseAND(ones))
+    chance = 2.0**-BITS
+    return (1 - differ / N_BITS - chance) / (1 - chance)
 
-def candidates(dealt: DataFrame) -> DataFrame:
-    """(kind, a, b) of rows (part, keys, ids): PAIR with two ids, MEMBER with a key and an id."""
+
+def least_estimate(percent: int) -> float:
+    """Pairs whose estimate is below this aren't verified: 6 standard errors under the threshold."""
+    t = percent / 100
+    return t - 6 * (t * (1 - t) / N_BITS) ** 0.5
+
+
+def runs(ids: np.ndarray) -> Iterator[slice]:
+    """Slices of ascending ids that are less than 65,536 apart."""
+    first = 0
+    while first < len(ids):
+        end = int(np.searchsorted(ids, ids[first] + 65_536))
+        yield slice(first, end)
+        first = end
+
+
+def joint(part, low):
+    """A bucket's key: the part and the lower half of the band key."""
+    return (np.asarray(part).astype(np.int64) << 32) | low.astype(np.int64)
+
+
+def deal(ids: np.ndarray, keys: np.ndarray, parts: int, small: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """Rows (kind, part, base, a, b) of items' band keys (items x bands). BAND and CENTRE rows have 4 bytes of each key and 2 of each id, as the distance from base.
+
+    A key that more than `small` of these items share proposes stars here (PAIR and MEMBER rows of longs) and sends only its centres on.
+    """
+    order = np.argsort(ids)
+    ids, keys = ids[order], keys[order]
+    for run in runs(ids):
+        base, bands = int(ids[run.start]), keys.shape[1]
+        key, near = keys[run].ravel(), np.repeat(ids[run] - base, bands)
+        part = ((key >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        low = key.astype(np.uint32)
+        groups = [(BAND, np.arange(len(key)))]
+        in_order = np.sort(key)
+        many = np.unique(in_order[small:][in_order[small:] == in_order[:-small]])
+        if len(many):
+            often = many[np.minimum(np.searchsorted(many, key), len(many) - 1)] == key
+            at = np.flatnonzero(often)
+            a, b, members, sent = stars(joint(part[at], low[at]), near[at])
+            where = int(C.mix(np.array([base], np.uint64))[0] % np.uint64(parts))
+            yield MEMBER, where, 0, joint(part[at], low[at])[members].tobytes(), (near[at][members] + base).tobytes()
+            yield PAIR, where, 0, (a + base).tobytes(), (b + base).tobytes()
+            groups = [(BAND, np.flatnonzero(~often)), (CENTRE, at[sent])]
+        for kind, picked in groups:
+            by_part = picked[np.argsort(part[picked], kind="stable")]
+            bounds = np.searchsorted(part[by_part], np.arange(parts + 1))
+            k, x = low[by_part], near[by_part].astype(np.uint16)
+            for p in np.flatnonzero(np.diff(bounds)).tolist():
+                yield kind, p, base, k[bounds[p] : bounds[p + 1]].tobytes(), x[bounds[p] : bounds[p + 1]].tobytes()
+
+
+def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of each bucket's members with its centres, and the places of the members and of the centres."""
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1])) if len(keys) else np.zeros(0, int)
+    left, right, sent = [ids[:0]], [ids[:0]], []
+    for s, e in zip(starts.tolist(), np.append(starts, len(keys))[1:].tolist(), strict=True):
+        members = ids[order[s:e]]
+        for c in range(CENTRES):
+            at = int(np.argmin(members if c == 0 else C.mix(members.astype(np.uint64) + np.uint64(c))))
+            sent.append(order[s + at])
+            left.append(np.full(e - s, members[at]))
+            right.append(members)
+    a, b = np.concatenate(left), np.concatenate(right)
+    a, b = packed_edges(a[a != b], b[a != b])
+    return a, b, order, np.unique(np.array(sent, np.int64))
+
+
+def bucket_pairs(keys: np.ndarray, ids: np.ndarray, centre: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs (a, b) of the buckets, and the (key, id) members of the large ones: those with more than `small` members, or with a centre of a batch."""
+    order = np.argsort(keys)
+    k, x, centre = keys[order], ids[order], centre[order]
+    first = np.append(True, k[1:] != k[:-1])
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.append(starts, len(k)))
+    large = np.repeat((sizes > small) | np.logical_or.reduceat(centre, starts), sizes)
+    left, right = [x[:0]], [x[:0]]
+    ends = np.repeat(starts + sizes, sizes)
+    at = np.flatnonzero(~large)
+    for d in range(1, small):
+        at = at[at + d < ends[at]]
+        left.append(x[at])
+        right.append(x[at + d])
+    a, b, members, _ = stars(k[large], x[large])
+    a, b = np.concatenate((*left, a)), np.concatenate((*right, b))
+    a, b = packed_edges(a[a != b], b[a != b])
+    return a, b, k[large][members], x[large][members]
+
+
+def dealt(items: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], small: int = SMALL) -> DataFrame:
+    """Packed rows of a table whose first column is the items' id; keys: gives a batch's band keys (items x bands)."""
+    parts = SHARES * C.spread(items)
+
+    def packed(ids: list[np.ndarray], band: list[np.ndarray]) -> pa.RecordBatch:
+        kind, part, base, a, b = zip(*deal(np.concatenate(ids), np.concatenate(band), parts, small), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(part, pa.int32()), pa.array(base, pa.int64()), C.binary(a), C.binary(b)], ["kind", "part", "base", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = [], []
+        ids, band = [], []
         for batch in batches:
-            keys += [np.frombuffer(x, np.uint64) for x in batch.column(0).to_pylist()]
-            ids += [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+            if batch.num_rows:
+                ids.append(np.asarray(batch.column(0)))
+                band.append(keys(batch))
+                if sum(map(len, ids)) >= DEALT:
+                    yield packed(ids, band)
+                    ids, band = [], []
+        if ids:
+            yield packed(ids, band)
+
+    return items.mapInArrow(run, "kind int, part int, base bigint, a binary, b binary")
+
+
+def candidates(rows: DataFrame, small: int = SMALL) -> DataFrame:
+    """(kind, a, b) of dealt rows: PAIR with two ids, MEMBER with a key and an id. A task holds one part's entries at a time."""
+
+    def found(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first in range(0, len(a), 50_000):
+            x, y = a[first : first + 50_000], b[first : first + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y)], ["kind", "a", "b"])
+
+    def gathered(part: int | None, keys: list[np.ndarray], ids: list[np.ndarray], centre: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if keys:
-            a, b, key, member = bucket_pairs(np.concatenate(keys), np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([PAIR, MEMBER], np.int32), [len(a), len(key)])), pa.array(np.concatenate((a, key))), pa.array(np.concatenate((b, member)))], ["kind", "a", "b"])
+            a, b, key, member = bucket_pairs(np.concatenate(keys), np.concatenate(ids), np.concatenate(centre), small)
+            yield from found(PAIR, a, b)
+            yield from found(MEMBER, joint(part, key), member)
 
-    return dealt.repartition(C.spread(dealt), "part").select("keys", "ids").mapInArrow(run, "kind int, a bigint, b bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, ids, centre = None, [], [], []
+        for batch in batches:
+            for kind, part, base, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    yield from gathered(at, keys, ids, centre)
+                    at, keys, ids, centre = part, [], [], []
+                if kind in (BAND, CENTRE):
+                    keys.append(np.frombuffer(a, np.uint32))
+                    ids.append(np.frombuffer(b, np.uint16).astype(np.int64) + base)
+                    centre.append(np.full(len(keys[-1]), kind == CENTRE))
+                else:
+                    yield from found(kind, np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
+        yield from gathered(at, keys, ids, centre)
+
+    return rows.repartition(C.spread(rows), "part").sortWithinPartitions("part").mapInArrow(run, "kind int, a bigint, b bigint")
 
 
 def sets_of(blobs: list[bytes], sets: Sets) -> tuple[np.ndarray, np.ndarray]:
@@ -92,13 +241,33 @@ def sets_of(blobs: list[bytes], sets: Sets) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values) if values else np.zeros(0, np.uint64), np.concatenate(([0], *map(np.cumsum, [np.concatenate(sizes)] if sizes else []))).astype(np.int64)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+def slices(batch: pa.RecordBatch, *columns: int, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose compressed texts have some 2^18 bytes, or one longer row."""
+    sizes = sum(np.diff(C.text_bytes(batch.column(c))[1]) for c in columns)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(first, end - first)
+        first = end
+
+
+Hot = tuple[DataFrame | None, DataFrame | None]
+
+
+def with_both(pairs: DataFrame, texts: DataFrame, often: Hot, column: str, x: str, y: str) -> DataFrame:
+    """pairs with a column of both ends' texts."""
+    left, right = texts.select(F.col("id").alias("a"), F.col(column).alias(x)), texts.select(F.col("id").alias("b"), F.col(column).alias(y))
+    return salted_join(salted_join(pairs, left, "a", "b", often[0]), right, "b", "a", often[1]).select("a", "b", x, y)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, often: Hot, sets: Sets, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. texts: id and z, its compressed text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 64):
-                part = batch.slice(first, 64)
+            for part in slices(batch, 2, 3):
                 (va, ba), (vb, bb) = (sets_of(part.column(c).to_pylist(), sets) for c in (2, 3))
                 na, nb = np.diff(ba), np.diff(bb)
                 bounds = np.concatenate(([0], np.cumsum(na + nb)))
@@ -109,82 +278,101 @@ def verify(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Data
                 linked = pa.array((100 * (na + nb - union) >= percent * union) & (union > 0))
                 yield part.select(["a", "b"]).filter(linked)
 
-    left, right = texts.select(F.col("id").alias("a"), F.col("z").alias("za")), texts.select(F.col("id").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint")
+    return with_both(pairs, texts, often, "z", "za", "zb").mapInArrow(run, "a bigint, b bigint")
+
+
+def plausible(pairs: DataFrame, texts: DataFrame, often: Hot, percent: int) -> DataFrame:
+    """Drops pairs that the estimate from their packed bits rules out."""
+    return with_both(pairs, texts, often, "bits", "x", "y").where(estimate("x", "y") >= least_estimate(percent)).select("a", "b")
 
 
-def open_cells(members: DataFrame, found: DataFrame, size: int = CELL) -> DataFrame:
-    """Cells of the large buckets that hold several components: (key, row, col, query, id, component).
+def linked(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """The candidate pairs, which are on disk already, that are links, on disk."""
+    often = hot(pairs, "a"), hot(pairs, "b")
+    return verify(plausible(pairs, texts, often, percent).checkpoint(), texts, often, sets, percent).checkpoint()
 
-    With n members, of which m are outside the largest component (the queries), a bucket has ceil(n / size) x ceil(m / size) cells.
+
+def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, query, component, cluster) of the members of large buckets that hold several components.
+
+    query: outside the largest component of such a bucket; cluster: components that are tied by such buckets have one in common.
+    All is told by component, so a few members more than needed may come along.
     """
     m = labelled(members.select(F.col("a").alias("key"), F.col("b").alias("id")), found)
     counted = m.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = counted.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    rows, cols = F.ceil(F.col("n") / size).cast("int"), F.ceil((F.col("n") - F.col("most")) / size).cast("int")
-    m = m.join(buckets.select("key", "main", rows.alias("rows"), cols.alias("cols")), "key").withColumn("h", F.xxhash64("id"))
-    as_row = m.select("key", F.pmod("h", "rows").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(False).alias("query"), "id", "component")
-    as_query = m.where("component <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod("h", "cols").cast("int").alias("col"), F.lit(True).alias("query"), "id", "component")
-    return as_row.union(as_query)
-
-
-def cell_links(cells: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """Links between the queries and the members of each cell, where their components differ."""
-
-    def run(group: pa.Table) -> pa.Table:
-        query = np.asarray(group["query"])
-        ids, comp = np.asarray(group["id"]), np.asarray(group["component"])
-        values, bounds = sets_of(group["z"].to_pylist(), sets)
-        owner, sizes = C.rows_of(bounds), np.diff(bounds)
-        q, r = np.flatnonzero(query), np.flatnonzero(~query)
-        place = np.empty(len(ids), np.int64)
-        place[q], place[r] = np.arange(len(q)), np.arange(len(r))
-        # only values that several have matter; their 0/1 matrices are multiplied in slices
-        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
-        several = times[column] > 1
-        owner, column = owner[several], (np.cumsum(times > 1) - 1)[column[several]]
-        shared = np.flatnonzero(times > 1)
-        inter = np.zeros((len(q), len(r)), np.float32)
-        for low in range(0, len(shared), 4096):
-            at = np.flatnonzero((column >= low) & (column < low + 4096))
-            left, right = np.zeros((len(q), 4096), np.float32), np.zeros((len(r), 4096), np.float32)
-            of_q = query[owner[at]]
-            left[place[owner[at][of_q]], column[at][of_q] - low] = 1
-            right[place[owner[at][~of_q]], column[at][~of_q] - low] = 1
-            inter += left @ right.T
-        union = sizes[q][:, None] + sizes[r][None, :] - inter
-        i, j = np.nonzero((100 * inter >= percent * union) & (comp[q][:, None] != comp[r][None, :]))
-        return pa.table({"a": pa.array(ids[q][i], pa.int64()), "b": pa.array(ids[r][j], pa.int64())})
-
-    return cells.join(texts, "id").groupBy("key", "row", "col").applyInArrow(run, "a bigint, b bigint")
-
-
-def link(found: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, percent: int, plausible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, cell: int = CELL) -> DataFrame:
+    buckets = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    tied = counted.join(buckets, "key").groupBy("component", "main").agg(F.lit(True).alias("tied")).select(F.col("component").alias("a"), F.col("main").alias("b")).checkpoint()
+    if tied.isEmpty():
+        return tied.select(F.col("a").alias("id"), F.lit(True).alias("query"), F.col("a").alias("component"), F.col("a").alias("cluster"))
+    comps = labelled(tied.groupBy(F.col("a").alias("id")).agg(F.max(F.col("a") != F.col("b")).alias("query")), components(tied))
+    comps = comps.select(F.col("id").alias("component"), "query", F.col("component").alias("cluster"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    once = m.select("id", "component").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    return once.join(comps, ["component", "salt"]).select("id", "query", "component", "cluster")
+
+
+def rare_pairs(opened: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Pairs (a, b) of open members of a cluster, one of them a query, of different components, that may have the similarity by their rarest shingles.
+
+    In each set the shingles are ordered by frequency in the cluster. A pair with sizes n and m needs an intersection of o = t / (1 + t) (n + m), so
+    it has a common shingle after which either has o - 1 more; with n <= m the smaller one's places and the larger one's are
+    both bounded, and the larger one looks only into the size classes that its place allows.
+    """
+    t = percent / 100
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                values, bounds = sets_of(part.column(2).to_pylist(), sets)
+                row = C.rows_of(bounds)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns[:2]), pa.array(np.diff(bounds)[row]), pa.array(values.view(np.int64))], ["id", "cluster", "n", "token"])
+
+    def size_class(n):
+        return F.floor(F.log(n) / float(np.log(CLASS))).cast("int")
+
+    each = opened.select("id", "cluster").join(texts, "id").select("id", "cluster", "z").mapInArrow(tokens, "id bigint, cluster bigint, n bigint, token bigint")
+    often = each.groupBy("cluster", "token").agg(F.count("*").alias("times")).where("times > 1")
+    # a set's own shingles come first, so its shared ones begin at the number of its own; no more than a text's shingles are collected
+    shared = each.join(often, ["cluster", "token"]).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("s"))
+    placed = shared.select("id", "n", F.posexplode("s").alias("i", "s"), (F.col("n") - F.size("s")).alias("own")).select("id", "n", F.col("s.token").alias("token"), (F.col("own") + F.col("i")).alias("place"))
+    left = F.col("n") - F.col("place")  # this shingle and all after it
+    most = F.floor(left * ((1 + t) / t) - F.col("n") + 1e-6)  # the largest partner that this place allows
+    placed = placed.withColumn("most", most).where(F.col("most") >= F.ceil(F.col("n") * t - 1e-6)).join(opened, "id").checkpoint()
+    smaller = placed.where("most >= n").select(F.col("id").alias("a"), F.col("query").alias("qa"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), "cluster", "token", size_class(F.col("n")).alias("class"))
+    top = F.least("n", "most")
+    larger = placed.select(F.col("id").alias("b"), F.col("query").alias("qb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), "cluster", "token", F.explode(F.sequence(size_class(F.ceil(F.col("n") * t - 1e-6)), size_class(top))).alias("class"))
+    fits = (F.col("na") <= F.col("mb")) & (F.col("nb") <= F.col("ma")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") != F.col("b"))))
+    pairs = smaller.join(larger, ["cluster", "token", "class"]).where(fits & (F.col("qa") | F.col("qb")) & (F.col("ca") != F.col("cb")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def link(found: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, percent: int) -> DataFrame:
     """Components (id, component) of the candidates (kind, a, b), which are on disk already.
 
-    texts: gives (id, z) for a table of ids. plausible: drops pairs that an estimate rules out. cell: items on a
-    side of a comparison, by their size.
+    texts: gives (id, bits, z) for a table of ids, or for more ids.
     """
-    pairs = plausible(found.where(F.col("kind") == PAIR).select("a", "b").distinct()).checkpoint()
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct().checkpoint()
     members = found.where(F.col("kind") == MEMBER).select("a", "b")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("b")).distinct()
-    known = texts(ids).checkpoint()
-    links = verify(pairs, known, sets, percent).checkpoint()
+    known = texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("b")).distinct()).checkpoint()
+    links = linked(pairs, known, sets, percent)
     comps = components(links)
-    more = cell_links(open_cells(members, comps, cell), known, sets, percent).checkpoint()
+    opened = open_members(members, comps).checkpoint()
+    if opened.isEmpty():
+        return comps
+    more = linked(rare_pairs(opened, known.select("id", "z"), sets, percent).checkpoint(), known, sets, percent)
     # every pair across components of a bucket has now been compared
     return comps if more.isEmpty() else components(links.union(more))
 
 
-def compressed(docs: DataFrame) -> DataFrame:
-    """(doc_id, z) of (doc_id, text): texts that are to be shuffled travel compressed."""
+def compressed(docs: DataFrame, named: Callable[[pa.RecordBatch], np.ndarray], schema: str) -> DataFrame:
+    """Names of rows (rows x columns of longs, as in the schema) and z, their last column as compressed text: texts that are to be shuffled travel so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            data, offsets = C.text_bytes(batch.column(1))
+            data, offsets = C.text_bytes(batch.column(batch.num_columns - 1))
             view = memoryview(np.ascontiguousarray(data))
-            ends = offsets.tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), C.binary([pack.compress(view[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])], ["doc_id", "z"])
+            ends, names = offsets.tolist(), named(batch)
+            z = C.binary([pack.compress(view[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            yield pa.RecordBatch.from_arrays([*(pa.array(names[:, i]) for i in range(names.shape[1])), z], [*(x.split()[0] for x in schema.split(",")), "z"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, z binary")
+    return docs.mapInArrow(run, f"{schema}, z binary")

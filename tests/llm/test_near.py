@@ -8,8 +8,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import zstandard
+from conftest import prose
 
-from kerbside.llm import line_dedup, minhash_dedup, suffix_dedup
+from kerbside.llm import common as C
+from kerbside.llm import line_dedup, minhash_dedup, neardup, suffix_dedup
 from kerbside.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,8 +82,8 @@ def test_estimate(spark):
         both = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
         n = int(1000 * share)
         sets = [np.sort(np.concatenate((both[:n], rng.integers(0, 1 << 63, 1000 - n).astype(np.uint64)))) for _ in "ab"]
-        bits = [minhash_dedup.pack_bits(minhash_dedup.minima(s, np.array([0, 1000]), minhash_dedup.N_HASHES))[0].tolist() for s in sets]
-        row = spark.createDataFrame([tuple(bits)], "x array<bigint>, y array<bigint>").select(minhash_dedup.estimate("x", "y").alias("e")).first()
+        bits = [neardup.pack_bits(neardup.minima(s, np.array([0, 1000]), neardup.N_BITS))[0].tolist() for s in sets]
+        row = spark.createDataFrame([tuple(bits)], "x array<bigint>, y array<bigint>").select(neardup.estimate("x", "y").alias("e")).first()
         assert abs(row["e"] - n / (2000 - n)) < 0.2
 
 
@@ -89,7 +92,7 @@ def check_lines(rows, corpus):
     for i, t in sorted(corpus):
         for k, line in enumerate((t or "").split("\n")):
             form = line.strip(" \t\n\v\f\r").translate(LOWER)
-            if len(form) >= line_dedup.MIN_CHARS:
+            if form:
                 occurrences.setdefault(form, []).append((i, k))
     forms = sorted(occurrences, key=lambda f: occurrences[f][0])
     groups = linked({k: {f[j : j + line_dedup.SIZE] for j in range(max(1, len(f) - line_dedup.SIZE + 1))} for k, f in enumerate(forms)}, line_dedup.PERCENT)
@@ -112,7 +115,7 @@ def test_lines_edges(spark, empty):
     line = "the same line of many words in it"
     rows = [(None, line), (3, line), (1, f"{line}\nx\nx"), (2, None)]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "7 AS lines", "8 AS z")).collect()
-    assert {r["doc_id"]: r["text"] for r in got} == {None: line, 3: "", 1: f"{line}\nx\nx", 2: None}
+    assert {r["doc_id"]: r["text"] for r in got} == {None: line, 3: "", 1: f"{line}\nx", 2: None}
 
 
 def check_spans(rows, corpus, length):
@@ -176,3 +179,86 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {x: groups.root(x) for x in groups if groups.root(x) != x}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    """Rows with one doc_id but different texts are told apart, whatever their order; inner names don't clash with the input's."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    for rows in ([(5, a), (5, b), (7, b + " word")], [(5, b), (7, b + " word"), (5, a)], [(7, b + " word"), (5, a), (5, b)]):
+        got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False)]
+    line, other = "the same line of many words in it", "quite another line that nobody else has got"
+    rows = [(1, line), (5, line), (5, other), (5, f"x\n{other} here"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS gone_id", "2 AS u1", "3 AS lines", "4 AS c0", "5 AS z", "6 AS n_lines")
+    got = line_dedup.dedup_lines(df).collect()
+    assert sorted((r["doc_id"], r["text"] or "", r["n_removed"]) for r in got) == [(1, line, 0), (5, "", 1), (5, other, 0), (5, "x", 1), (6, "", 0)]
+    assert all((r["gone_id"], r["u1"], r["lines"], r["c0"], r["z"]) == (1, 2, 3, 4, 5) for r in got)
+
+
+def near_group(n: int, words: int = 120) -> list[tuple[int, str]]:
+    """Copies of one text with more and more words put in, so that many resemble the text, some only each other, many none."""
+    rng = random.Random(11)
+    base = prose(rng, words)
+    out = []
+    for i in range(n):
+        near = list(base)
+        for _ in range(rng.randint(0, 14)):
+            near.insert(rng.randrange(len(near)), prose(rng, 1)[0] + str(i))
+        out.append((i, " ".join(near)))
+    return out
+
+
+def test_one_large_bucket(spark):
+    """2,000 near copies of one text, of which many aren't linked with the centres: exact as brute force finds them, in pairs that don't grow with the square."""
+    corpus = near_group(2000)
+    sets = [np.sort(np.array([hash(s) for s in word_set(t)])) for _, t in corpus]
+    tokens = {t: i for i, t in enumerate(sorted(set(np.concatenate(sets).tolist())))}
+    matrix = np.zeros((len(corpus), len(tokens)), np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [tokens[t] for t in s.tolist()]] = 1
+    inter, size = matrix @ matrix.T, matrix.sum(1)
+    groups = Groups()
+    for i in range(len(corpus)):
+        groups.root(i)
+        for j in np.flatnonzero(100 * inter[i, :i] >= 75 * (size[i] + size[:i] - inter[i, :i])).tolist():
+            groups.join(i, j)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(corpus, "doc_id bigint, text string").repartition(4)).collect()}
+    want = {i: groups.root(i) for i, _ in corpus}
+    assert got == want and 100 < len(set(want.values())) < 1900
+
+
+def test_rare_pairs_lose_none(spark):
+    """Every pair of unlike components that has the similarity is among the pairs by rarest shingles."""
+    rng = random.Random(2)
+    corpus = near_group(120, 60) + [(200 + i, " ".join(prose(rng, rng.randint(1, 30)))) for i in range(40)]
+    sets = {i: word_set(t) for i, t in corpus}
+    opened = spark.createDataFrame([(i, i % 3 == 0, i, 7) for i, _ in corpus], "id bigint, query boolean, component bigint, cluster bigint")
+    texts = spark.createDataFrame([(i, zstandard.compress(t.encode())) for i, t in corpus], "id bigint, z binary")
+    got = {(r["a"], r["b"]) for r in neardup.rare_pairs(opened, texts, lambda data, offsets: C.shingles(data, offsets, 5), 75).collect()}
+    similar = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert {p for p in similar if p[0] % 3 == 0 or p[1] % 3 == 0} <= got and similar and len(got) < len(corpus) ** 2 / 4
+
+
+def test_recall_at_the_threshold():
+    """Pairs of exactly the least similarity meet in some band as often as the docstrings say."""
+    rng = np.random.default_rng(4)
+    for bands, rows, similarity, least in ((minhash_dedup.BANDS, minhash_dedup.ROWS, 0.75, 0.998), (line_dedup.BANDS, line_dedup.ROWS, 0.6, 0.98)):
+        met = 0
+        for _ in range(1000):
+            values = rng.integers(0, 1 << 63, 400).astype(np.uint64)
+            own = round(400 * (1 - similarity) / 2)
+            x = neardup.minima(np.concatenate((values[own:], values[: 400 - own])), np.array([0, 400 - own, 800 - 2 * own]), bands * rows)
+            k = neardup.band_keys(x, bands, rows)
+            met += bool((k[0] == k[1]).any())
+        assert met >= 1000 * least
+
+
+def test_components_with_hot_nodes(spark):
+    """A star of more neighbours than a task should have, tied to others, with its centre in the middle of the ids."""
+    rng = random.Random(6)
+    edges = [(5000, i) for i in range(3000, 7000)] + [(2000 + i, 3000 + i) for i in range(0, 900, 3)] + [(rng.randrange(1, 900), rng.randrange(1, 900)) for _ in range(300)] + [(1, 2000)]
+    groups = Groups()
+    for a, b in edges:
+        groups.join(a, b)
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
+    assert got == {x: groups.root(x) for x in groups if groups.root(x) != x}
