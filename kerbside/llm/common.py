@@ -9,6 +9,7 @@ import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -21,6 +22,7 @@ CHUNK_BYTES = 1 << 20
 #: The multiplier of the rolling hashes modulo 2^64, and what mixes their bits; any odd numbers would do.
 BASE = 0x9E3779B97F4A7C15
 MIX = 0xD6E8FEB86659FD93
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Code points that separate words: blank and \t \n \v \f \r.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -184,11 +186,25 @@ def with_defaults(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of tables made within go as soon as the table is on disk, and not only when the driver's memory is cleared.
+
+    Tables that outlast the block are to be made after it: they may be read more than once.
+    """
+    had = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, had)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Writes a table of texts to a folder of its own in the shared checkpoint folder, and reads it again."""
     spark = df.sparkSession
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 Each partition first contracts its own edges by a local union-find, which leaves a forest; then alternating large-star and
 small-star steps hook every tree to the smallest id reachable until nothing changes. A node with very many larger
-neighbours isn't dealt to one task: there are at most HOT_NODES of them, their smallest neighbours are broadcast, and their
+neighbours isn't dealt to one task: at most HOT_NODES of them are told to all tasks with their smallest neighbours, and their
 edges are rewritten where they lie. Each round is cut by a checkpoint; the driver sees that bounded table and one number.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from kerbside.llm.common import spread
 
-#: A node is hot if it has more than 1 in HOT_NODES of all edges, and more than HOT_EDGES: so there are at most HOT_NODES.
-HOT_NODES, HOT_EDGES = 2048, 256
+#: Hot keys are the HOT_NODES most frequent ones of those with more than HOT_EDGES rows; all others have less than 1 in HOT_NODES of the rows.
+HOT_NODES, HOT_EDGES = 512, 256
 SALTS = 32
 
 
@@ -83,24 +83,20 @@ def small_star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.where(other, b, a)), pa.array(first), pa.array(other | marked)], ["a", "b", "changed"])
 
 
-def hot(rows: DataFrame, key: str) -> DataFrame | None:
-    """The at most HOT_NODES values of a column that very many rows have; None without any. rows: on disk already."""
-    most = max(HOT_EDGES, rows.count() // HOT_NODES)
-    found = rows.groupBy(key).count().where(F.col("count") > most).select(key).checkpoint()
-    return None if found.isEmpty() else found
+def hot(rows: DataFrame, key: str, least: int = HOT_EDGES) -> list[int]:
+    """The values of a column that the most rows have, more than `least`, and HOT_NODES of them at most. rows: on disk already."""
+    found = rows.groupBy(key).count().where(F.col("count") > least).orderBy(F.desc("count"), key).limit(HOT_NODES).collect()
+    return [r[0] for r in found if r[0] is not None]
 
 
-def salted_join(rows: DataFrame, side: DataFrame, keys: str | list[str], other: str, often: DataFrame | None) -> DataFrame:
+def salted_join(rows: DataFrame, side: DataFrame, keys: str | list[str], other: str, often: list[int]) -> DataFrame:
     """rows joined with `side`, which has one row for each key: rows of the hot keys (`often`, by the first of them) are spread by `other`, and these few rows of `side` repeated."""
     keys = [keys] if isinstance(keys, str) else keys
-    key = keys[0]
-    if often is None:
+    if not often:
         return rows.join(side, keys)
-    often = F.broadcast(often.withColumn("is_hot", F.lit(True)))
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0).cast("int")
-    spread_rows = rows.join(often, key, "left").withColumn("salt", salt).drop("is_hot")
-    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread_side = side.join(often, key, "left").withColumn("salt", F.explode(copies)).drop("is_hot")
+    is_hot = F.col(keys[0]).isin(often)
+    spread_rows = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64(other), F.lit(SALTS))).otherwise(0).cast("int"))
+    spread_side = side.withColumn("salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return spread_rows.join(spread_side, [*keys, "salt"]).drop("salt")
 
 
@@ -114,15 +110,13 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select("a", "b").where("a <> b").mapInArrow(contract, "a bigint, b bigint").withColumn("changed", F.lit(False)).checkpoint()
     while True:
         often, moved, turns = hot(e, "b"), None, F.array(F.lit(False), F.lit(True))
-        dealt = e
-        if often is not None:
+        if often:
             # the larger neighbours of a hot node go to its smallest neighbour without an exchange
-            at = often.select(F.col("b").alias("h"))
-            least = e.join(F.broadcast(at), F.col("a") == F.col("h")).groupBy("h").agg(F.min("b").alias("m"))
-            dealt = e.join(F.broadcast(at.join(least, "h", "left")), F.col("b") == F.col("h"), "left")
-            moved = dealt.where("h IS NOT NULL").select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("changed"))
-            turns = F.when(F.col("h").isNull(), turns).otherwise(F.array(F.lit(False)))
-        turned = dealt.select("a", "b", F.explode(turns).alias("turned"))
+            least = {h: h for h in often} | {r["a"]: r["m"] for r in e.where(F.col("a").isin(often)).groupBy("a").agg(F.min("b").alias("m")).collect()}
+            to = F.element_at(F.create_map(*[F.lit(x) for pair in least.items() for x in pair]), F.col("b"))
+            moved = e.where(F.col("b").isin(often)).select("a", to.alias("to"), "b").select("a", F.col("to").alias("b"), (F.col("to") != F.col("b")).alias("changed"))
+            turns = F.when(F.col("b").isin(often), F.array(F.lit(False))).otherwise(turns)
+        turned = e.select("a", "b", F.explode(turns).alias("turned"))
         both = turned.select(F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("b"))
         large = both.repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(large_star, schema)
         large = large if moved is None else large.union(moved)

@@ -56,9 +56,8 @@ def compressed_texts(docs: DataFrame) -> DataFrame:
     return compressed(own, named, "first bigint, t1 bigint, t2 bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
-    rows = signatures(docs).checkpoint()
+def labelled_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """d1, d2 and component_id of each class of `rows`, the signatures of docs. On disk."""
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.min_by(F.struct("t1", "t2", "bits", "mins"), F.struct("doc_id", "t1", "t2")).alias("s"))
     # classes are numbered in the order of their first documents, so a component's smallest number is its smallest document
     classes = classes.select("d1", "d2", "first", "s.*").repartitionByRange(C.spread(docs), "first", "d1", "d2").sortWithinPartitions("first", "d1", "d2").withColumn("id", F.monotonically_increasing_id()).checkpoint()
@@ -76,7 +75,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = labelled(classes.select("id", "d1", "d2", "first"), comps).select("id", "d1", "d2", "component").where("id <> component").checkpoint()
     first = named.select("component").distinct().join(classes.select(F.col("id").alias("component"), F.col("first").alias("least")), "component")
     labels = salted_join(named, first, "component", "id", hot(named, "component")).select("d1", "d2", "least")
-    labels = classes.join(labels, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "first").alias("component_id"))
+    return classes.join(labels, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("least", "first").alias("component_id")).checkpoint()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    with C.tidy(docs.sparkSession):
+        rows = signatures(docs).checkpoint()
+        labels = labelled_classes(docs, rows)
     own = rows.select("doc_id", "n_shingles", "d1", "d2")
     full = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
     found = salted_join(own.where(full), labels, ["d1", "d2"], "doc_id", hot(own, "d1")).select("doc_id", "n_shingles", "component_id")

@@ -4,7 +4,8 @@ Items have a 64-bit id and band keys from MinHash. Band keys travel as packed ar
 bucket of up to `small` members (SMALL, if the operator names no other number) proposes all its pairs. A larger one proposes stars around CENTRES members; this happens
 within each batch first, so that a key that very many items share brings only a few members of each batch to the task of
 its part. Once the links are verified and joined into components, what is left are large buckets that still hold several
-components. Their members are joined by their rarest shingles: two sets with a Jaccard similarity of t share one of the
+components. In those with up to MIDDLE members, packed bits tell which pairs across components are to be verified; members of
+the larger ones are joined by their rarest shingles: two sets with a Jaccard similarity of t share one of the
 first (1 - t) n + 1 shingles in any common order, and in an order by frequency those of unlike members are nearly all their
 own. So no bucket is capped, none emits all its pairs, and no pair of a bucket is lost.
 """
@@ -24,6 +25,8 @@ from kerbside.llm import common as C
 from kerbside.llm.components import SALTS, components, hot, labelled, packed_edges, salted_join
 
 SMALL, CENTRES = 6, 3
+#: Members of a bucket whose packed bits are compared with each other in one task.
+MIDDLE = 1024
 #: Numbers of parts by which band keys are dealt, for each of Spark's shuffle partitions; a task holds one part at a time.
 SHARES = 4
 #: Items whose band keys are dealt at once.
@@ -253,7 +256,7 @@ def slices(batch: pa.RecordBatch, *columns: int, most: int = 1 << 18) -> Iterato
         first = end
 
 
-Hot = tuple[DataFrame | None, DataFrame | None]
+Hot = tuple[list[int], list[int]]
 
 
 def with_both(pairs: DataFrame, texts: DataFrame, often: Hot, column: str, x: str, y: str) -> DataFrame:
@@ -292,28 +295,51 @@ def linked(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> Data
     return verify(plausible(pairs, texts, often, percent).checkpoint(), texts, often, sets, percent).checkpoint()
 
 
-def open_members(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, query, component, cluster) of the members of large buckets that hold several components.
+def open_buckets(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What large buckets (key, id) with several components are left with: the rows (key, id, component) of those with up to MIDDLE members, and
+    of the larger ones the members (id, query, component) at once; query: outside the largest component of such a bucket.
 
-    query: outside the largest component of such a bucket; cluster: components that are tied by such buckets have one in common.
-    All is told by component, so a few members more than needed may come along.
+    The latter is told by component, so a few members more than needed may come along.
     """
-    m = labelled(members.select(F.col("a").alias("key"), F.col("b").alias("id")), found)
-    counted = m.groupBy("key", "component").agg(F.count("*").alias("n"))
-    buckets = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    tied = counted.join(buckets, "key").groupBy("component", "main").agg(F.lit(True).alias("tied")).select(F.col("component").alias("a"), F.col("main").alias("b")).checkpoint()
-    if tied.isEmpty():
-        return tied.select(F.col("a").alias("id"), F.lit(True).alias("query"), F.col("a").alias("component"), F.col("a").alias("cluster"))
-    comps = labelled(tied.groupBy(F.col("a").alias("id")).agg(F.max(F.col("a") != F.col("b")).alias("query")), components(tied))
-    comps = comps.select(F.col("id").alias("component"), "query", F.col("component").alias("cluster"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    m = labelled(members, found)
+    counted = m.groupBy("key", "component").agg(F.count("*").alias("n")).checkpoint()
+    buckets = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1")
+    large = hot(members, "key", MIDDLE)
+    middle = m.where(~F.col("key").isin(large)).join(buckets.where(F.col("n") <= MIDDLE).select("key"), "key", "left_semi")
+    comps = counted.join(buckets.where(F.col("n") > MIDDLE), "key").groupBy("component").agg(F.max(F.col("component") != F.col("main")).alias("query"))
+    comps = comps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     once = m.select("id", "component").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return once.join(comps, ["component", "salt"]).select("id", "query", "component", "cluster")
+    return middle.select("key", "id", "component"), once.join(comps, ["component", "salt"]).select("id", "query", "component")
+
+
+def bucket_estimates(middle: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket (key, id, component) that their packed bits don't rule out: MIDDLE members at most are compared in a task at once."""
+    least = least_estimate(percent)
+    ones = np.uint64(int("1" * PER_LONG, 16))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, comp = np.asarray(group["id"]), np.asarray(group["component"])
+        bits = np.asarray(group["bits"].combine_chunks().flatten()).view(np.uint64).reshape(-1, LONGS)
+        left, right = [ids[:0]], [ids[:0]]
+        for i in range(len(ids) - 1):
+            z = bits[i] ^ bits[i + 1 :]
+            z |= z >> np.uint64(1)
+            z |= z >> np.uint64(2)
+            differ = np.bitwise_count(z & ones).sum(1)
+            fits = (1 - differ / N_BITS - 2.0**-BITS) / (1 - 2.0**-BITS) >= least
+            at = i + 1 + np.flatnonzero(fits & (comp[i + 1 :] != comp[i]))
+            left.append(np.full(len(at), ids[i]))
+            right.append(ids[at])
+        a, b = packed_edges(np.concatenate(left), np.concatenate(right))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return middle.join(texts.select("id", "bits"), "id").groupBy("key").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def rare_pairs(opened: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
-    """Pairs (a, b) of open members of a cluster, one of them a query, of different components, that may have the similarity by their rarest shingles.
+    """Pairs (a, b) of open members, one of them a query, of different components, that may have the similarity by their rarest shingles.
 
-    In each set the shingles are ordered by frequency in the cluster. A pair with sizes n and m needs an intersection of o = t / (1 + t) (n + m), so
+    In each set the shingles are ordered by frequency among the members. A pair with sizes n and m needs an intersection of o = t / (1 + t) (n + m), so
     it has a common shingle after which either has o - 1 more; with n <= m the smaller one's places and the larger one's are
     both bounded, and the larger one looks only into the size classes that its place allows.
     """
@@ -321,27 +347,27 @@ def rare_pairs(opened: DataFrame, texts: DataFrame, sets: Sets, percent: int) ->
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
-                values, bounds = sets_of(part.column(2).to_pylist(), sets)
+            for part in slices(batch, 1):
+                values, bounds = sets_of(part.column(1).to_pylist(), sets)
                 row = C.rows_of(bounds)
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row)) for c in part.columns[:2]), pa.array(np.diff(bounds)[row]), pa.array(values.view(np.int64))], ["id", "cluster", "n", "token"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.diff(bounds)[row]), pa.array(values.view(np.int64))], ["id", "n", "token"])
 
     def size_class(n):
         return F.floor(F.log(n) / float(np.log(CLASS))).cast("int")
 
-    each = opened.select("id", "cluster").join(texts, "id").select("id", "cluster", "z").mapInArrow(tokens, "id bigint, cluster bigint, n bigint, token bigint")
-    often = each.groupBy("cluster", "token").agg(F.count("*").alias("times")).where("times > 1")
+    each = opened.select("id").join(texts, "id").select("id", "z").mapInArrow(tokens, "id bigint, n bigint, token bigint")
+    often = each.groupBy("token").agg(F.count("*").alias("times")).where("times > 1")
     # a set's own shingles come first, so its shared ones begin at the number of its own; no more than a text's shingles are collected
-    shared = each.join(often, ["cluster", "token"]).groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("s"))
+    shared = each.join(often, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "token"))).alias("s"))
     placed = shared.select("id", "n", F.posexplode("s").alias("i", "s"), (F.col("n") - F.size("s")).alias("own")).select("id", "n", F.col("s.token").alias("token"), (F.col("own") + F.col("i")).alias("place"))
     left = F.col("n") - F.col("place")  # this shingle and all after it
     most = F.floor(left * ((1 + t) / t) - F.col("n") + 1e-6)  # the largest partner that this place allows
     placed = placed.withColumn("most", most).where(F.col("most") >= F.ceil(F.col("n") * t - 1e-6)).join(opened, "id").checkpoint()
-    smaller = placed.where("most >= n").select(F.col("id").alias("a"), F.col("query").alias("qa"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), "cluster", "token", size_class(F.col("n")).alias("class"))
+    smaller = placed.where("most >= n").select(F.col("id").alias("a"), F.col("query").alias("qa"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"), "token", size_class(F.col("n")).alias("class"))
     top = F.least("n", "most")
-    larger = placed.select(F.col("id").alias("b"), F.col("query").alias("qb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), "cluster", "token", F.explode(F.sequence(size_class(F.ceil(F.col("n") * t - 1e-6)), size_class(top))).alias("class"))
+    larger = placed.select(F.col("id").alias("b"), F.col("query").alias("qb"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"), "token", F.explode(F.sequence(size_class(F.ceil(F.col("n") * t - 1e-6)), size_class(top))).alias("class"))
     fits = (F.col("na") <= F.col("mb")) & (F.col("nb") <= F.col("ma")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") != F.col("b"))))
-    pairs = smaller.join(larger, ["cluster", "token", "class"]).where(fits & (F.col("qa") | F.col("qb")) & (F.col("ca") != F.col("cb")))
+    pairs = smaller.join(larger, ["token", "class"]).where(fits & (F.col("qa") | F.col("qb")) & (F.col("ca") != F.col("cb")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -351,16 +377,23 @@ def link(found: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets,
     texts: gives (id, bits, z) for a table of ids, or for more ids.
     """
     pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct().checkpoint()
-    members = found.where(F.col("kind") == MEMBER).select("a", "b")
-    known = texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("b")).distinct()).checkpoint()
+    members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"))
+    known = texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()).checkpoint()
     links = linked(pairs, known, sets, percent)
     comps = components(links)
-    opened = open_members(members, comps).checkpoint()
-    if opened.isEmpty():
+    if members.isEmpty():
+        return comps
+    middle, larger = open_buckets(members, comps)
+    more = bucket_estimates(middle, known, percent)
+    larger = larger.checkpoint()
+    if not larger.isEmpty():
+        more = more.union(rare_pairs(larger, known.select("id", "z"), sets, percent)).distinct()
+    more = more.checkpoint()
+    if more.isEmpty():
         return comps
-    more = linked(rare_pairs(opened, known.select("id", "z"), sets, percent).checkpoint(), known, sets, percent)
+    more = linked(more, known, sets, percent)
     # every pair across components of a bucket has now been compared
-    return comps if more.isEmpty() else components(links.union(more))
+    return comps if more.isEmpty() else components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def compressed(docs: DataFrame, named: Callable[[pa.RecordBatch], np.ndarray], schema: str) -> DataFrame:

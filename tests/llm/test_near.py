@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 import zstandard
 from conftest import prose
 
@@ -208,8 +209,10 @@ def near_group(n: int, words: int = 120) -> list[tuple[int, str]]:
     return out
 
 
-def test_one_large_bucket(spark):
+@pytest.mark.parametrize("middle", [1024, 50])
+def test_one_large_bucket(spark, monkeypatch, middle):
     """2,000 near copies of one text, of which many aren't linked with the centres: exact as brute force finds them, in pairs that don't grow with the square."""
+    monkeypatch.setattr(neardup, "MIDDLE", middle)
     corpus = near_group(2000)
     sets = [np.sort(np.array([hash(s) for s in word_set(t)])) for _, t in corpus]
     tokens = {t: i for i, t in enumerate(sorted(set(np.concatenate(sets).tolist())))}
@@ -232,7 +235,7 @@ def test_rare_pairs_lose_none(spark):
     rng = random.Random(2)
     corpus = near_group(120, 60) + [(200 + i, " ".join(prose(rng, rng.randint(1, 30)))) for i in range(40)]
     sets = {i: word_set(t) for i, t in corpus}
-    opened = spark.createDataFrame([(i, i % 3 == 0, i, 7) for i, _ in corpus], "id bigint, query boolean, component bigint, cluster bigint")
+    opened = spark.createDataFrame([(i, i % 3 == 0, i) for i, _ in corpus], "id bigint, query boolean, component bigint")
     texts = spark.createDataFrame([(i, zstandard.compress(t.encode())) for i, t in corpus], "id bigint, z binary")
     got = {(r["a"], r["b"]) for r in neardup.rare_pairs(opened, texts, lambda data, offsets: C.shingles(data, offsets, 5), 75).collect()}
     similar = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
