@@ -56,7 +56,8 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # such tokens in a text are found in it by the tokenizer alone
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         byte_of = {c: bytes([b]) for b, c in enumerate(byte_characters())}
         ranks, self.token_id = {bytes([b]): b for b in range(256)}, [0] * (1 << 16)
         for token, i in sorted(self.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1]):
@@ -75,7 +76,7 @@ class WordIds(dict):
     def word(self, word: str) -> list[int]:
         if word.isascii() and word.isalpha():
             return [self.token_id[i] for i in self.merge(word.lower() + WORD_END)]
-        if PLAIN.fullmatch(word):
+        if PLAIN.fullmatch(word) and not any(t in word.lower() for t in self.added):
             return [self.token_id[i] for i in self.merge(WORD_END.join([*PARTS.findall(word.lower()), ""]))]
         return self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
 

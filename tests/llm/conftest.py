@@ -16,7 +16,7 @@ def prose(rng: random.Random, n: int) -> list[str]:
 def corpus() -> list[tuple[int, str | None]]:
     """Copies, near copies, shared passages and lines, nulls, empty and very long texts, ties and odd characters."""
     rng = random.Random(7)
-    texts: list[str | None] = [None, "", " \n\t ", "one", "One", "a b c d", "x" * 900, "ab" * 400, "\n\n", "é", "a\x1cb\x85c d e f"]
+    texts: list[str | None] = [None, "", " \n\t ", "one", "One", "a b c d", "x" * 900, "ab" * 400, "\n\n", "é", "a\x1cb\x85c d e f", "so<|endoftext|>be <|startoftext|> it <|endoftext|>"]
     for k in range(30):
         words = prose(rng, rng.randint(5, 200))
         texts.append("\n".join(" ".join(words[i : i + 30]) for i in range(0, len(words), 30)))

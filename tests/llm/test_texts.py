@@ -54,7 +54,6 @@ def test_packing(docs, corpus, empty):
 
     path = tokenizers_of.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rows = packing.pieces(clashing(docs), path).collect()
     by_doc = {}
     for r in rows:
@@ -69,7 +68,7 @@ def test_packing(docs, corpus, empty):
     assert packing.pieces(empty, path).collect() == []
 
 
-ODD = ["ΣΑΣ Σ", "é ́x", "<|endoftext|> hi", "x y\t\tq", "it's I'LL we'd", "日本語 😀😀", "²³ ½ª a_b __  x\xa0\xa0y ÷×", "İI ß", "\r\n\x0b", "d\x85\x85q  \n\n z", "a\x1cb", "x  y", "word" * 40]
+ODD = ["ΣΑΣ Σ", "é ́x", "<|endoftext|> hi", "a<|endoftext|>b <|startoftext|>x.<|startoftext|>", "<|ENDOFTEXT|>É<|endoftext|><|endoftext|> <|endoftext |>", "x y\t\tq", "it's I'LL we'd", "日本語 😀😀", "²³ ½ª a_b __  x\xa0\xa0y ÷×", "İI ß", "\r\n\x0b", "d\x85\x85q  \n\n z", "a\x1cb", "x  y", "word" * 40]
 
 
 def test_word_ids_are_the_tokenizers():
@@ -77,7 +76,6 @@ def test_word_ids_are_the_tokenizers():
 
     path = tokenizers_of.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice("abeénñ'’.,!1 \n") for _ in range(60)) for _ in range(200)]
     for text, ids in zip(texts, packing.WordIds(path).encode(texts), strict=True):
