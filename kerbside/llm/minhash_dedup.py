@@ -65,13 +65,16 @@ def labelled_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     def keys(batch: pa.RecordBatch) -> np.ndarray:
         return band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS), BANDS, ROWS)
 
-    found = candidates(dealt(classes.select("id", "mins"), keys)).checkpoint()
+    found = C.settled(candidates(dealt(classes.select("id", "mins"), keys)))
+
+    def bits(ids: DataFrame) -> DataFrame:
+        return classes.join(ids, "id", "left_semi").select("id", "bits")
 
     def texts(ids: DataFrame) -> DataFrame:
-        wanted = classes.join(ids, "id").select("first", "t1", "t2", "id", "bits")
-        return compressed_texts(docs).join(wanted, ["first", "t1", "t2"]).dropDuplicates(["id"]).select("id", "bits", "z")
+        wanted = classes.join(ids, "id").select("first", "t1", "t2", "id")
+        return compressed_texts(docs).join(wanted, ["first", "t1", "t2"]).dropDuplicates(["id"]).select("id", "z")
 
-    comps = link(found, texts, lambda data, offsets: C.shingles(data, offsets, SIZE), PERCENT)
+    comps = link(found, bits, texts, lambda data, offsets: C.shingles(data, offsets, SIZE), PERCENT)
     named = labelled(classes.select("id", "d1", "d2", "first"), comps).select("id", "d1", "d2", "component").where("id <> component").checkpoint()
     first = named.select("component").distinct().join(classes.select(F.col("id").alias("component"), F.col("first").alias("least")), "component")
     labels = salted_join(named, first, "component", "id", hot(named, "component")).select("d1", "d2", "least")

@@ -4,7 +4,7 @@ Items have a 64-bit id and band keys from MinHash. Band keys travel as packed ar
 bucket of up to `small` members (SMALL, if the operator names no other number) proposes all its pairs. A larger one proposes stars around CENTRES members; this happens
 within each batch first, so that a key that very many items share brings only a few members of each batch to the task of
 its part. Once the links are verified and joined into components, what is left are large buckets that still hold several
-components. In those with up to MIDDLE members, packed bits tell which pairs across components are to be verified; members of
+components. In those with up to `middle` members (none, if the operator names no number), packed bits tell which pairs across components are to be verified; members of
 the larger ones are joined by their rarest shingles: two sets with a Jaccard similarity of t share one of the
 first (1 - t) n + 1 shingles in any common order, and in an order by frequency those of unlike members are nearly all their
 own. So no bucket is capped, none emits all its pairs, and no pair of a bucket is lost.
@@ -25,8 +25,6 @@ from kerbside.llm import common as C
 from kerbside.llm.components import SALTS, components, hot, labelled, packed_edges, salted_join
 
 SMALL, CENTRES = 6, 3
-#: Members of a bucket whose packed bits are compared with each other in one task.
-MIDDLE = 1024
 #: Numbers of parts by which band keys are dealt, for each of Spark's shuffle partitions; a task holds one part at a time.
 SHARES = 4
 #: Items whose band keys are dealt at once.
@@ -41,6 +39,8 @@ LONGS = N_BITS // PER_LONG
 CLASS = 1.05
 
 Sets = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+#: Gives columns of a table of ids, or of more ids.
+Texts = Callable[[DataFrame], DataFrame]
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,14 +289,16 @@ def plausible(pairs: DataFrame, texts: DataFrame, often: Hot, percent: int) -> D
     return with_both(pairs, texts, often, "bits", "x", "y").where(estimate("x", "y") >= least_estimate(percent)).select("a", "b")
 
 
-def linked(pairs: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, bits: DataFrame, texts: Texts, sets: Sets, percent: int) -> DataFrame:
     """The candidate pairs, which are on disk already, that are links, on disk."""
     often = hot(pairs, "a"), hot(pairs, "b")
-    return verify(plausible(pairs, texts, often, percent).checkpoint(), texts, often, sets, percent).checkpoint()
+    likely = C.settled(plausible(pairs, bits, often, percent))
+    known = C.settled(texts(likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()))
+    return C.settled(verify(likely, known, often, sets, percent))
 
 
-def open_buckets(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What large buckets (key, id) with several components are left with: the rows (key, id, component) of those with up to MIDDLE members, and
+def open_buckets(members: DataFrame, found: DataFrame, middle: int) -> tuple[DataFrame, DataFrame]:
+    """What large buckets (key, id) with several components are left with: the rows (key, id, component) of those with up to `middle` members, and
     of the larger ones the members (id, query, component) at once; query: outside the largest component of such a bucket.
 
     The latter is told by component, so a few members more than needed may come along.
@@ -304,16 +306,16 @@ def open_buckets(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataF
     m = labelled(members, found)
     counted = m.groupBy("key", "component").agg(F.count("*").alias("n")).checkpoint()
     buckets = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("k"), F.sum("n").alias("n")).where("k > 1")
-    large = hot(members, "key", MIDDLE)
-    middle = m.where(~F.col("key").isin(large)).join(buckets.where(F.col("n") <= MIDDLE).select("key"), "key", "left_semi")
-    comps = counted.join(buckets.where(F.col("n") > MIDDLE), "key").groupBy("component").agg(F.max(F.col("component") != F.col("main")).alias("query"))
+    large = hot(members, "key", middle)
+    close = m.where(~F.col("key").isin(large)).join(buckets.where(F.col("n") <= middle).select("key"), "key", "left_semi")
+    comps = counted.join(buckets.where(F.col("n") > middle), "key").groupBy("component").agg(F.max(F.col("component") != F.col("main")).alias("query"))
     comps = comps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     once = m.select("id", "component").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    return middle.select("key", "id", "component"), once.join(comps, ["component", "salt"]).select("id", "query", "component")
+    return close.select("key", "id", "component"), once.join(comps, ["component", "salt"]).select("id", "query", "component")
 
 
-def bucket_estimates(middle: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket (key, id, component) that their packed bits don't rule out: MIDDLE members at most are compared in a task at once."""
+def bucket_estimates(close: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket (key, id, component) that their packed bits don't rule out."""
     least = least_estimate(percent)
     ones = np.uint64(int("1" * PER_LONG, 16))
 
@@ -333,7 +335,7 @@ def bucket_estimates(middle: DataFrame, texts: DataFrame, percent: int) -> DataF
         a, b = packed_edges(np.concatenate(left), np.concatenate(right))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return middle.join(texts.select("id", "bits"), "id").groupBy("key").applyInArrow(run, "a bigint, b bigint").distinct()
+    return close.join(texts.select("id", "bits"), "id").groupBy("key").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
 def rare_pairs(opened: DataFrame, texts: DataFrame, sets: Sets, percent: int) -> DataFrame:
@@ -371,27 +373,29 @@ def rare_pairs(opened: DataFrame, texts: DataFrame, sets: Sets, percent: int) ->
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def link(found: DataFrame, texts: Callable[[DataFrame], DataFrame], sets: Sets, percent: int) -> DataFrame:
+def link(found: DataFrame, bits: Texts, texts: Texts, sets: Sets, percent: int, middle: int = 0) -> DataFrame:
     """Components (id, component) of the candidates (kind, a, b), which are on disk already.
 
-    texts: gives (id, bits, z) for a table of ids, or for more ids.
+    bits: gives (id, bits); texts: gives (id, z). middle: members of a bucket whose packed bits are compared in one task.
     """
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b").distinct().checkpoint()
+    pairs = C.settled(found.where(F.col("kind") == PAIR).select("a", "b").distinct())
     members = found.where(F.col("kind") == MEMBER).select(F.col("a").alias("key"), F.col("b").alias("id"))
-    known = texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()).checkpoint()
-    links = linked(pairs, known, sets, percent)
+    packed = C.settled(bits(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("id")).distinct()))
+    links = linked(pairs, packed, texts, sets, percent)
     comps = components(links)
     if members.isEmpty():
         return comps
-    middle, larger = open_buckets(members, comps)
-    more = bucket_estimates(middle, known, percent)
+    close, larger = open_buckets(members, comps, middle)
     larger = larger.checkpoint()
-    if not larger.isEmpty():
-        more = more.union(rare_pairs(larger, known.select("id", "z"), sets, percent)).distinct()
-    more = more.checkpoint()
+    parts = [] if larger.isEmpty() else [rare_pairs(larger, texts(larger.select("id").distinct()), sets, percent)]
+    if middle:
+        parts.append(bucket_estimates(close, packed, percent))
+    if not parts:
+        return comps
+    more = C.settled(reduce(DataFrame.union, parts).distinct())
     if more.isEmpty():
         return comps
-    more = linked(more, known, sets, percent)
+    more = linked(more, packed, texts, sets, percent)
     # every pair across components of a bucket has now been compared
     return comps if more.isEmpty() else components(comps.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
 

@@ -209,10 +209,10 @@ def near_group(n: int, words: int = 120) -> list[tuple[int, str]]:
     return out
 
 
-@pytest.mark.parametrize("middle", [1024, 50])
+@pytest.mark.parametrize("middle", [0, 1024])
 def test_one_large_bucket(spark, monkeypatch, middle):
     """2,000 near copies of one text, of which many aren't linked with the centres: exact as brute force finds them, in pairs that don't grow with the square."""
-    monkeypatch.setattr(neardup, "MIDDLE", middle)
+    monkeypatch.setattr(minhash_dedup, "link", lambda *a: neardup.link(*a, middle))
     corpus = near_group(2000)
     sets = [np.sort(np.array([hash(s) for s in word_set(t)])) for _, t in corpus]
     tokens = {t: i for i, t in enumerate(sorted(set(np.concatenate(sets).tolist())))}
