@@ -30,6 +30,9 @@ def pair_series(obs: DataFrame, pairs: DataFrame, tolerance: float = 0.15, least
     """
     side = lambda k: obs.select("video_id", F.col("tid").alias(k), F.col("t").alias(f"t_{k}"), F.floor(F.col("t") / tolerance).alias(f"slot_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in VALUES])
     a, b = pairs.join(side("a"), ["video_id", "a"]), side("b")
+    # only a's samples in the common span count; a starts first
+    span = obs.groupBy("video_id", F.col("tid").alias("b")).agg(F.min("t").alias("_from"), F.max("t").alias("_to"))
+    a = a.join(span, ["video_id", "b"]).where(F.col("t_a").between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
     b = b.withColumn("slot", F.explode(F.array(*[F.col("slot_b") + d for d in (-1, 0, 1)])))
     met = a.withColumn("slot", F.col("slot_a")).join(b, ["video_id", "b", "slot"]).where(F.abs(F.col("t_a") - F.col("t_b")) < tolerance)
     best = met.groupBy(*PAIR, "t_a", *[f"{c}_a" for c in VALUES]).agg(F.min_by(F.struct("t_b", *[f"{c}_b" for c in VALUES]), F.struct(F.abs(F.col("t_a") - F.col("t_b")), "t_b")).alias("n"))

@@ -10,27 +10,38 @@ from pyspark.sql import functions as F
 LEAST_PHASE = 5.0
 
 
-def otsu(values: np.ndarray) -> float | None:
-    """The threshold that splits values best, on 256 steps of their range; None for few values or a small range."""
+def split(values: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """Values as 256 steps of their range, and the last step of the lower part when they are split best; None for few values or a small range."""
     if len(values) < 10 or np.ptp(values) < 8:
         return None
-    low, span = values.min(), np.ptp(values)
-    q = ((values - low) / span * 255).astype(int)
+    q = ((values - values.min()) / np.ptp(values) * 255).astype(int)
     n = np.bincount(q, minlength=256).astype(float)
     w, s = n.cumsum(), (n * np.arange(256)).cumsum()
     with np.errstate(divide="ignore", invalid="ignore"):
         between = (s[-1] * w - s * w[-1]) ** 2 / (w * (w[-1] - w))
-    return float(low + np.nanargmax(np.where(np.isfinite(between), between, -1)) / 255 * span)
+    return q, int(np.argmax(np.where(np.isfinite(between), between, -1)))
+
+
+def otsu(values: np.ndarray) -> float | None:
+    """The threshold that splits values best, as a value: where the lower part's last step begins."""
+    found = split(values)
+    return None if found is None else float(values.min() + found[1] / 255 * np.ptp(values))
+
+
+def lit(values: np.ndarray) -> np.ndarray | None:
+    """Which values lie above the best split's last lower step; None as in `split`."""
+    found = split(values)
+    return None if found is None else found[0] > found[1]
 
 
 def least_phases(t: np.ndarray, on: np.ndarray, least: float = LEAST_PHASE) -> np.ndarray:
-    """Flips the shortest inner run under `least` seconds (the first of equals) until there is none."""
+    """Flips the shortest inner run under `least` seconds, from its first sample to its last (the first of equals), until there is none."""
     on = on.copy()
     while len(on):
         starts = np.flatnonzero(np.append(True, on[1:] != on[:-1]))
         if len(starts) < 3:
             break
-        length = t[starts[2:]] - t[starts[1:-1]]
+        length = t[starts[2:] - 1] - t[starts[1:-1]]
         k = int(np.argmin(length))
         if length[k] >= least:
             break
@@ -41,14 +52,13 @@ def least_phases(t: np.ndarray, on: np.ndarray, least: float = LEAST_PHASE) -> n
 def classify(rows: pd.DataFrame) -> pd.DataFrame:
     """One signal's states from its scores (video_id, signal, lamp, t, score): red and not green; nothing if red can't be told."""
     red = rows[rows.lamp == "red"].sort_values("t")
-    cut = otsu(red.score.to_numpy(float))
-    if cut is None:
+    on = lit(red.score.to_numpy(float))
+    if on is None:
         return pd.DataFrame({"video_id": [], "signal": [], "t": [], "red": []})
-    on = red.score.to_numpy(float) > cut
     green = rows[rows.lamp == "green"].sort_values("t")
-    cut = otsu(green.score.to_numpy(float))
-    if cut is not None and len(green) == len(red):
-        on &= ~(green.score.to_numpy(float) > cut)
+    other = lit(green.score.to_numpy(float))
+    if other is not None and len(green) == len(red):
+        on = on & ~other
     return pd.DataFrame({"video_id": red.video_id, "signal": red.signal, "t": red.t, "red": least_phases(red.t.to_numpy(float), on)})
 
 

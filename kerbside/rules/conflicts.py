@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -58,7 +60,7 @@ def accident(ctx: Context, contact: float = 0.15, near: float = 0.5, approach: f
     return events(first.withColumn("end", F.least(F.greatest("stop", F.col("start") + 1.0), F.col("start") + 30.0)), "accident", F.array(F.col("a").cast("bigint"), F.col("b").cast("bigint")))
 
 
-def evasive(ctx: Context, brake: float = 1.5, swerve: float = 0.6) -> DataFrame:
+def evasive(ctx: Context, brake: float = 2.5, swerve: float = math.radians(35)) -> DataFrame:
     """Vehicle observations that begin to brake hard (within 0.4 s) or to swerve (within 1 s)."""
     v = ctx.obs.where("is_vehicle")
     later = v.select(*TRACK, F.col("t").alias("_t"), F.col("rel_speed").alias("_rel"), F.col("vx").alias("_vx"), F.col("vy").alias("_vy"))

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from kerbside.functions.geometry import any_of, inside, polygon, polyline_side, signed_side, within_extent
 from kerbside.operators.sequences import enter_leave, runs
+from kerbside.operators.temporal import asof
 from kerbside.rules import Context, events, rule
 from kerbside.rules.flow import TRACK, at_time, track_ends
 
@@ -57,11 +58,13 @@ def illegal_turn(ctx: Context, within: float = 20.0, lasts: float = 2.0) -> Data
 
 
 def line_crossings(rows: DataFrame, side: str, valid) -> DataFrame:
-    """Changes of the side's sign between successive valid samples, with the interpolated time."""
+    """Changes of the side's sign between successive valid samples, with the interpolated time, and size and speed of the nearer sample."""
     own = Window.partitionBy(*TRACK).orderBy("t")
-    r = rows.where(valid).withColumn("s1", F.lead(side).over(own)).withColumn("t1", F.lead("t").over(own))
+    r = rows.where(valid).withColumns({"s1": F.lead(side).over(own), "t1": F.lead("t").over(own), "size1": F.lead("size").over(own), "speed1": F.lead("speed").over(own)})
     hit = r.where((F.col(side) != 0) & (F.signum(side) != F.signum("s1")))
-    return hit.withColumn("at", F.col("t") + (F.col("t1") - F.col("t")) * F.try_divide(F.col(side), F.col(side) - F.col("s1"))).withColumn("new_sign", F.signum("s1").cast("int"))
+    hit = hit.withColumn("at", F.col("t") + (F.col("t1") - F.col("t")) * F.try_divide(F.col(side), F.col(side) - F.col("s1"))).withColumn("new_sign", F.signum("s1").cast("int"))
+    before = F.col("at") - F.col("t") <= F.col("t1") - F.col("at")
+    return hit.withColumns({"size_at": F.when(before, F.col("size")).otherwise(F.col("size1")), "speed_at": F.when(before, F.col("speed")).otherwise(F.col("speed1"))})
 
 
 @rule("solid_line_crossing")
@@ -87,20 +90,15 @@ def with_signal(rows: DataFrame, signals: DataFrame, signal: str, at: str) -> Da
     The state is that of the first sample at or after the time (the last one, if there is none); red_for counts from
     the last sample up to it that isn't red; green_at is the first such sample at or after the time.
     """
-    s = signals.where(F.col("signal") == signal).select("video_id", F.col("t").alias("_t"), F.col("red").alias("_red"))
-    key = F.monotonically_increasing_id()
-    own = rows.withColumn("_key", key)
-    joined = own.select("_key", "video_id", F.col(at).alias("_at")).join(s, "video_id")
-    state = joined.groupBy("_key", "_at").agg(
-        F.coalesce(F.min_by("_red", F.when(F.col("_t") >= F.col("_at"), F.col("_t"))), F.max_by("_red", "_t")).alias("red"),
-        F.coalesce(F.min(F.when(F.col("_t") >= F.col("_at"), F.col("_t"))), F.max("_t")).alias("_here"),
-        F.collect_list(F.struct("_t", "_red")).alias("_all"),  # one signal's samples in one video
-        F.min(F.when((F.col("_t") >= F.col("_at")) & ~F.col("_red"), F.col("_t"))).alias("green_at"),
-        F.min("_t").alias("_first"),
-    )
-    off = F.array_max(F.transform(F.filter("_all", lambda x: ~x["_red"] & (x["_t"] <= F.col("_here"))), lambda x: x["_t"]))
-    state = state.withColumn("red_for", F.when(F.col("red"), F.col("_at") - F.coalesce(off, F.col("_first"))).otherwise(0.0))
-    return own.join(state.select("_key", "red", "red_for", "green_at"), "_key").drop("_key")
+    s = signals.where(F.col("signal") == signal).select("video_id", F.col("t").alias("_t"), F.col("red").alias("red"))
+    own = Window.partitionBy("video_id").orderBy("_t")
+    off = F.when(~F.col("red"), F.col("_t"))
+    s = s.withColumn("_off", F.coalesce(F.last(off, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.min("_t").over(Window.partitionBy("video_id"))))
+    s = s.withColumn("_green", F.first(off, ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))).withColumn("_here", F.col("_t")).drop("_t")
+    found = asof(rows, s, ["video_id"], at, "_here", "forward", clamp=True).where("red IS NOT NULL")
+    found = found.withColumn("red_for", F.when(F.col("red"), F.col(at) - F.col("_off")).otherwise(0.0))
+    # after the last sample there is no next green
+    return found.withColumn("green_at", F.when(F.col("_here") >= F.col(at), F.col("_green"))).drop("_off", "_green", "_here")
 
 
 def stop_line_sides(rows: DataFrame, line: dict) -> DataFrame:
@@ -114,15 +112,15 @@ def stop_line_sides(rows: DataFrame, line: dict) -> DataFrame:
 def line_passes(ctx: Context, line: dict) -> DataFrame:
     """Forward crossings of a stop line with the signal's state when the vehicle's front crosses."""
     rows = stop_line_sides(ctx.vehicles, line)
-    hits = line_crossings(rows, "past", F.col("extent")).where("past < 0 and speed >= 20")
-    hits = hits.select(*TRACK, "at", (F.col("at") - 0.5 * F.col("size") * 0.7 / F.greatest("speed", F.lit(1.0))).alias("front"))
+    hits = line_crossings(rows, "past", F.col("extent")).where("past < 0 and speed_at >= 20")
+    hits = hits.select(*TRACK, "at", (F.col("at") - 0.5 * F.col("size_at") * 0.7 / F.greatest("speed_at", F.lit(1.0))).alias("front"))
     return with_signal(hits, ctx.signals, line["signal"], "front")
 
 
-def trusted(found: DataFrame, least_passes: int = 8, most_red: float = 0.25) -> DataFrame:
-    """Videos in which a signal isn't contradicted by most drivers: not many passes of which over a quarter are on red."""
-    n = found.groupBy("video_id").agg(F.count("*").alias("n"), F.avg(F.col("red").cast("double")).alias("p"))
-    return n.where(~((F.col("n") >= least_passes) & (F.col("p") > most_red))).select("video_id")
+def distrusted(found: DataFrame, least_passes: int = 8, most_red: float = 0.25, red_for: float = 1.0) -> DataFrame:
+    """Videos in which a signal is contradicted by drivers: of many passes, over a quarter when it has been red for a second."""
+    n = found.groupBy("video_id").agg(F.count("*").alias("n"), F.avg((F.col("red_for") >= red_for).cast("double")).alias("p"))
+    return n.where((F.col("n") >= least_passes) & (F.col("p") > most_red)).select("video_id")
 
 
 @rule("red_light")
@@ -132,7 +130,7 @@ def red_light(ctx: Context, red_for: float = 1.0, to_green: float = 2.0, most_se
     parts = []
     for line in ctx.layout.stop_lines:
         found = line_passes(ctx, line)
-        found = found.join(trusted(found), "video_id", "left_semi")
+        found = found.join(distrusted(found), "video_id", "left_anti")
         ran = found.where((F.col("red_for") >= red_for) & (F.col("green_at").isNull() | (F.col("green_at") - F.col("front") >= to_green)))
         rows = ran.join(track_ends(ctx.vehicles), TRACK)
         end = F.least("track_end", F.col("at") + most_seconds)
@@ -143,7 +141,7 @@ def red_light(ctx: Context, red_for: float = 1.0, to_green: float = 2.0, most_se
             left = near.join(entered, [*TRACK, "at"]).where((F.col("t") > F.col("entered")) & ~F.col("_in")).groupBy(*TRACK, "at").agg(F.min("t").alias("exit"))
             rows = rows.join(left, [*TRACK, "at"], "left")
             end = F.coalesce("exit", end)
-        parts.append(rows.withColumn("start", F.col("front")).withColumn("end", end))
+        parts.append(rows.withColumn("start", F.greatest(F.lit(0.0), F.col("front"))).withColumn("end", end))
     return reduce(DataFrame.unionByName, [events(p, "red_light") for p in parts]) if parts else ctx.empty()
 
 
@@ -159,9 +157,7 @@ def stop_line(ctx: Context, slow: float = 0.08, least_seconds: float = 2.0, most
         if ctx.layout.intersection:
             beyond = beyond & ~inside(F.col("x"), F.col("y"), polygon(ctx.layout.intersection))
         found = runs(rows.withColumn("_beyond", beyond), TRACK, "t", "_beyond", 0.5).where(F.col("end") - F.col("start") >= least_seconds).select(*TRACK, "start", "end")
-        ok = line_passes(ctx, line)
         known = with_signal(found, ctx.signals, line["signal"], "start").where("red")
-        n = ok.groupBy("video_id").agg(F.count("*").alias("n"), F.avg(F.col("red").cast("double")).alias("p")).where((F.col("n") >= 8) & (F.col("p") > 0.25))
-        known = known.join(n.select("video_id"), "video_id", "left_anti").join(ctx.videos.select("video_id", "duration"), "video_id")
+        known = known.join(distrusted(line_passes(ctx, line)), "video_id", "left_anti").join(ctx.videos.select("video_id", "duration"), "video_id")
         parts.append(known.withColumn("end", F.least(F.coalesce("green_at", "duration"), F.col("start") + most_seconds)))
     return reduce(DataFrame.unionByName, [events(p, "stop_line") for p in parts]) if parts else ctx.empty()
