@@ -7,9 +7,10 @@ element the odds of being main content. A Viterbi pass over the tree then picks
 cost for each change between parent and child, so that an element and its ancestors don't contradict each other.
 
 There are no labels for pages, so training pages are made from at most SAMPLE of the given pages (the bound is the
-parameter `sample`): their marked article is the content, and blocks of the kinds that pages carry (menus, notices,
+parameter `sample`, those with a marked article first; of each the training copy ends after LONGEST characters): their marked
+article is the content, or their paragraphs where no page is marked, and blocks of the kinds that pages carry (menus, notices,
 comments and so on, filled with text of other pages) are grafted around and into it under varied names, as are the
-containers of the article itself.
+containers of the article itself and parts such as lists, tables and figures. Whole pages are extracted, whatever their length.
 
 Edge cases: null or empty html gives an empty text; broken or cut-off markup is parsed as far as it goes; null ids and
 urls are returned as they are; repeated rows give equal results; an empty table gives an empty result.
@@ -30,20 +31,46 @@ from pyspark.sql import functions as F
 from kerbside.llm import common as C
 
 SAMPLE = 250
+#: Characters of a training page's copy.
+LONGEST = 20_000
 #: Elements by what the markup's rules say of them (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark output picture q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var".split())
+FLOWS = INLINE | frozenset("area embed iframe img input link map meta noscript script source style svg template track wbr".split())  # these don't cut a line of text
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NEVER = RAW | frozenset("head form button select nav footer".split())
 TAGS = ("html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "a", "b", "span", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "table", "figure")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: A quote opens a value only after an equals sign, and only if it is closed.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|=|[^>=]+)*+)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 BUCKETS = 48
 SWITCH = 2.5
 
 
+def raw_end(source: str, tag: str, place: int, closed: bool) -> int:
+    """Where a raw element ends that starts before `place`.
+
+    One that closes itself is empty, unless its end tag comes before another start (`<script/>...</script>`). Drawings and
+    templates nest; an unclosed one of them is taken as empty, any other unclosed element goes on to the end of the page.
+    """
+    nests = tag in ("svg", "template")
+    if closed and tag == "svg":
+        return place
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I).finditer(source, place):
+        if m[1]:
+            depth -= 1
+            if depth == 0 or not nests:
+                return m.end()
+        elif closed:
+            return place
+        elif not m[2]:
+            depth += 1
+    return place if closed or nests else len(source)
+
+
 class Page:
     """The elements in document order: tags, parents, tokens; and the text runs with the element of each."""
 
@@ -63,7 +90,7 @@ class Page:
                 continue
             tag = m[2].lower()
             if m[1]:
-                if tag not in INLINE:
+                if tag not in FLOWS:
                     block += 1
                 for i in range(len(stack) - 1, 0, -1):
                     if self.tags[stack[i]] == tag:
@@ -89,7 +116,7 @@ class Page:
             if tag == "br":
                 self.runs.append((stack[-1], block, " "))
                 continue
-            if tag not in INLINE:
+            if tag not in FLOWS:
                 block += 1
             if tag in VOID:
                 continue
@@ -100,8 +127,7 @@ class Page:
             self.parent.append(stack[-1])
             self.tokens.append(own)
             if tag in RAW:
-                close = re.compile(rf"</{tag}\s*>", re.I).search(source, place)
-                place = close.end() if close else len(source)
+                place = raw_end(source, tag, place, m[3].rstrip().endswith("/"))
             elif not m[3].rstrip().endswith("/"):
                 stack.append(len(self.tags) - 1)
 
@@ -249,13 +275,22 @@ CONTAINERS = (("article", ""), ("article", "post"), ("main", ""), ("div", "conte
 MARKED = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|$)", re.S | re.I)
 
 
-def training_page(sources: list[str], rng: random.Random) -> tuple[Page, np.ndarray] | None:
-    """A page with its elements' labels: 1 in the article, 0 elsewhere, -1 above both."""
+PARAGRAPH = re.compile(r"<p\b[^>]*>.*?(?:</p\s*>|(?=<p\b)|$)", re.S | re.I)
+
+
+def marked(source: str) -> str:
+    """A page with a marked article: its own, or one of its paragraphs, or of its words if it has no paragraphs."""
+    if MARKED.search(source):
+        return source
+    body = "".join(PARAGRAPH.findall(source)) or "<p>" + re.sub(r"<[^>]*>", " ", source) + "</p>"
+    return f"<html><body><article>{body}</article></body></html>"
+
+
+def training_page(sources: list[str], rng: random.Random) -> tuple[Page, np.ndarray]:
+    """A page with its elements' labels: 1 in the article, 0 elsewhere, -1 above both. The sources have marked articles."""
     pick = rng.choice(sources)
     m = MARKED.search(pick)
-    if m is None:
-        return None
-    others = [re.sub(r"<[^>]*>", " ", x[2]).split() for x in (MARKED.search(rng.choice(sources)) for _ in range(3)) if x]
+    others = [re.sub(r"<[^>]*>", " ", MARKED.search(rng.choice(sources))[2]).split() for _ in range(3)]
     others = [x for x in others if x] or [["text"]]
 
     def prose(most: int) -> str:
@@ -277,11 +312,25 @@ def training_page(sources: list[str], rng: random.Random) -> tuple[Page, np.ndar
 
     # links and marks in running text are part of it
     body = re.sub(r"<p>", lambda x: x[0] + (f'{prose(8)} <a href="/">{prose(3)}</a> ' if rng.random() < 0.25 else f"<em>{prose(2)}</em> " if rng.random() < 0.1 else ""), m[2])
-    if rng.random() < 0.5:  # within the article
+    for _ in range(rng.choice((0, 1, 1, 2))):  # within the article
         cut = rng.choice([x.start() for x in re.finditer(r"<(?:p|h\d)\b", body)] + [len(body)])
         body = body[:cut] + graft() + body[cut:]
-    if rng.random() < 0.3:  # article parts of other kinds
-        body += rng.choice((f"<ul><li>{prose(20)}</li><li>{prose(20)}</li></ul>", f"<blockquote><p>{prose(40)}</p></blockquote>", f"<h2>{prose(6)}</h2><p>{prose(80)}</p>"))
+    for _ in range(rng.choice((0, 0, 1, 2))):  # article parts of other kinds
+        rows = range(rng.randint(1, 4))
+        part = rng.choice((
+            f"<ul>{''.join(f'<li>{prose(20)}</li>' for _ in rows)}</ul>",
+            f"<ol>{''.join(f'<li>{prose(20)}</li>' for _ in rows)}</ol>",
+            f"<table>{''.join(f'<tr><th>{prose(3)}</th><td>{prose(5)}</td></tr>' for _ in rows)}</table>",
+            f"<table><tbody>{''.join(f'<tr><td>{prose(3)}</td><td>{prose(3)}</td></tr>' for _ in rows)}</tbody></table>",
+            f"<dl>{''.join(f'<dt>{prose(3)}</dt><dd>{prose(20)}</dd>' for _ in rows)}</dl>",
+            f"<figure><img src=a.png><figcaption>{prose(12)}</figcaption></figure>",
+            f"<pre>{prose(20)}</pre>",
+            f"<blockquote><p>{prose(40)}</p></blockquote>",
+            f"<h2>{prose(6)}</h2><p>{prose(80)}</p>",
+            f"<div><p>{prose(60)}</p></div>",
+        ))
+        at = rng.choice([x.start() for x in re.finditer(r"<(?:p|h\d)\b", body)] + [len(body)] * 2)
+        body = body[:at] + part + body[at:]
     tag, name = rng.choice(CONTAINERS)
     mark = f' {rng.choice(("class", "id"))}="{name.replace(" ", "-")}"' if name else ""
     article = f"<{tag} data-k=1{mark}>{body}</{tag}>"
@@ -318,24 +367,23 @@ class Labelled(Page):
         return out
 
 
-def train(sources: list[str], pages: int = 500, seed: int = 0) -> Boosted | None:
+def train(sources: list[str], pages: int = 500, seed: int = 0) -> Boosted:
     """Trees over the elements of made pages; containers that hold both kinds count as outside, at a low weight."""
     rng = random.Random(seed)
-    made = [x for x in (training_page(sources, rng) for _ in range(pages)) if x] if sources else []
-    if not made:
-        return None
+    own = [x for x in sources if MARKED.search(x)] or [marked(x) for x in sources or [""]]
+    made = [training_page(own, rng) for _ in range(pages)]
     x = np.concatenate([p.features() for p, _ in made])
     y = np.concatenate([labels for _, labels in made])
     return Boosted().fit(x, (y == 1).astype(float), np.where(y < 0, 0.3, 1.0))
 
 
-def extract(model: Boosted | None, sources: list[str]) -> list[str]:
-    """The main text of each page. Without a model (no page has a marked article) text counts that isn't in links."""
+def extract(model: Boosted, sources: list[str]) -> list[str]:
+    """The main text of each page."""
     pages = [Page(s) for s in sources]
     if not pages:
         return []
     x = [p.features() for p in pages]
-    odds = model.log_odds(np.concatenate(x)) if model else np.concatenate([1 - 4 * f[:, 6] for f in x])
+    odds = model.log_odds(np.concatenate(x))
     bounds = np.cumsum([0, *map(len, x)])
     return [p.text(decode(p, odds[a:b])) for p, a, b in zip(pages, bounds[:-1], bounds[1:], strict=True)]
 
@@ -343,8 +391,9 @@ def extract(model: Boosted | None, sources: list[str]) -> list[str]:
 def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     own = C.with_defaults(pages, page_id="bigint", url="string", html="string")
-    ids = own.where("html is not null").select("page_id", F.length("html").alias("n")).where("n between 500 and 20000").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
-    chosen = own.join(F.broadcast(ids.select("page_id").distinct()), "page_id", "left_semi").select("html").orderBy(F.xxhash64("html")).limit(sample).collect()  # at most `sample` pages of at most 20,000 characters
+    copies = own.where("html is not null").select(F.substring("html", 1, LONGEST).alias("html"))
+    first = F.col("html").rlike(r"(?i)<(article|main)\b")
+    chosen = copies.orderBy(first.desc(), F.xxhash64("html"), "html").limit(sample).collect()  # at most `sample` copies of LONGEST characters
     shared = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in chosen]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

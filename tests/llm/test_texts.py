@@ -176,6 +176,62 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
 
 
+STORY = "The river rose in the night, and by morning the lower fields were under water. Nobody had seen that before, though the old ones spoke of it."
+#: Ends of an article and the text that they must give.
+ENDS = [
+    ('<p title="5" tall">An odd quote.</p>', "An odd quote."),
+    ("<p title='it is\">A single one.</p>", "A single one."),
+    ('<p data-a="x > y">A sign in a value.</p>', "A sign in a value."),
+    ('<p>Before <svg class="i"/> and after.</p>', "Before and after."),
+    ("<p>Before <svg><svg><path/></svg><text>in</text></svg> and after.</p>", "Before and after."),
+    ('<p>Before <img src="a.png"> and after.</p>', "Before and after."),
+    ('<p>One.</p><script src="x"/><p>Two.</p>', "One.\nTwo."),
+    ('<p>One.</p><script src="x"></script ><p>Two.</p>', "One.\nTwo."),
+    ("<p>One.</p><script>let a = '<p>no</p>'</script><p>Two.</p>", "One.\nTwo."),
+    ("<p>One.</p><style>p { color: red }</style><p>Two.</p>", "One.\nTwo."),
+    ("<p>One.</p><iframe src=a /><p>Two.</p>", "One.\nTwo."),
+    ("<p>One.</p><template><p>no</p></template><p>Two.</p>", "One.\nTwo."),
+    ("<p>One.</p><!-- <p>no</p> --><p>Two.</p>", "One.\nTwo."),
+    ("<table><tr><th>Year</th><td>Rain</td></tr></table>", "Year\nRain"),
+    ("<table><tbody><tr><td>Year<td>Rain<tr><td>Last<td>None</tbody></table>", "Year\nRain\nLast\nNone"),
+    ("<dl><dt>Term<dd>What it means.</dl>", "Term\nWhat it means."),
+    ("<ul><li>First thing<li>Second thing</ul>", "First thing\nSecond thing"),
+    ("<ol><li>First thing</li><li>Second thing</li></ol>", "First thing\nSecond thing"),
+    ("<figure><img src=a><figcaption>The lower fields.</figcaption></figure>", "The lower fields."),
+    ("<pre>a  b</pre>", "a b"),
+    ("<blockquote><p>They said so.</p></blockquote>", "They said so."),
+    ("<h2>What then</h2><p>Nothing.</p>", "What then\nNothing."),
+    ("<p>H<sub>2</sub>O &lt; &#x41;&nbsp;&eacute;</p>", "H2O < A \u00e9"),
+    ("<p>One<br>two</p>", "One two"),
+    ("<p>One<p>Two", "One\nTwo"),
+    ("<P>Upper</P>", "Upper"),
+    ("<p>5 < 6 and 7 > 6</p>", "5 < 6 and 7 > 6"),
+    ("<p><b>Bold <i>both</b> rest</i></p>", "Bold both rest"),
+    ("<div><p>In a box.</p></div>", "In a box."),
+    ("<p>Left <a href='/x'>linked</a> right.</p>", "Left linked right."),
+]
+
+
+@pytest.fixture(scope="module")
+def trees():
+    return html_extract.train([h for h, _ in pages()])
+
+
+@pytest.mark.parametrize(("end", "text"), ENDS)
+def test_html_ends_of_articles(trees, end, text):
+    body = "".join(f"<p>{STORY}</p>" for _ in range(6))
+    page = f'<html><body><nav><a href="/">Home</a></nav><article><h1>Flood</h1>{body}{end}</article><footer>Site</footer></body></html>'
+    assert html_extract.extract(trees, [page]) == ["\n".join(["Flood", *[STORY] * 6, text])]
+
+
+def test_html_without_marks_or_text():
+    made = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h, _ in pages()]
+    trees = html_extract.train(made)
+    page = f'<html><body><ul class="menu"><li><a href="/">Home</a></li></ul><div class="content"><p>{STORY}</p><p>{STORY}</p></div><div class="footer"><a href="/b">About</a></div></body></html>'
+    assert html_extract.extract(trees, [page, "", "<svg"]) == [f"{STORY}\n{STORY}", "", ""]
+    assert html_extract.extract(html_extract.train([]), ["", "<!-- -->"]) == ["", ""]
+
+
 def test_html_other_templates():
     model = html_extract.train([h for h, _ in pages()])
     story = " ".join(["First paragraph of the story, long enough."] * 6)
