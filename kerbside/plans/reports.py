@@ -54,30 +54,14 @@ def whole_truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return rows, _predictions(rows)
 
 
-def _truth(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """As in the SQL: one of 23 orders as events of their customer's nation, and shifted ones as predictions."""
-    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").cast("string").alias("video_id"))
-    rows = intervals(spark, sf_dir).where("order % 23 = 0").join(nation, "cust").select("video_id", F.col("flag").alias("label"), F.col("order").alias("ord"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end")).where("end > start")
-    return rows, _predictions(rows)
-
-
 def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.event_scores(*whole_truth(spark, sf_dir))
     return s.select(F.coalesce("label", F.lit("all")).alias("label"), F.round(F.col("threshold") * 10).cast("bigint").alias("threshold10"), *[F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn")])
 
 
-def _candidates(truth: DataFrame, predicted: DataFrame) -> DataFrame:
-    return V.match_pairs(truth, predicted, V.KEYS).where("iou >= 0.5").groupBy("label").agg(F.count("*").alias("pairs"), F.count_distinct("i").alias("truths"), F.sum(F.floor(F.col("iou") * 1000 + 1e-6).cast("bigint")).alias("iou1000"))
-
-
 def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of true and predicted events with at least half in common."""
-    return _candidates(*_truth(spark, sf_dir))
-
-
-def match_candidates_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all orders."""
-    return _candidates(*whole_truth(spark, sf_dir))
+    return V.match_pairs(*whole_truth(spark, sf_dir), V.KEYS).where("iou >= 0.5").groupBy("label").agg(F.count("*").alias("pairs"), F.count_distinct("i").alias("truths"), F.sum(F.floor(F.col("iou") * 1000 + 1e-6).cast("bigint")).alias("iou1000"))
 
 
 def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +100,8 @@ def rate_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def heat_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _strips(intervals(spark, sf_dir).where("order % 10 = 0"))
-
-
-def heat_strip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all orders."""
-    return _strips(intervals(spark, sf_dir))
-
-
-def _strips(rows: DataFrame) -> DataFrame:
+    """How many of a customer's orders, and of which flags, are open in each part of the time."""
+    rows = intervals(spark, sf_dir)
     return A.heat_strip(rows.withColumnRenamed("flag", "label").where("start between 0 and 2600 and end <= 2600"), ["cust"], F.lit(2600)).select("cust", F.col("bin").cast("bigint").alias("bin"), "n", "labels")
 
 
@@ -174,15 +151,7 @@ def label_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Problems of predictions and of the users' curves. As in the SQL, the videos are those with a prediction."""
-    _, predicted = _truth(spark, sf_dir)
-    videos = predicted.select("video_id").distinct().withColumn("duration", F.lit(2300.0))
-    found = V.violations(predicted, _scored(spark, sf_dir), videos, ["A", "N"])
-    return found.groupBy("problem").agg(F.count("*").alias("n"))
-
-
-def violations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all orders, in all customers' videos."""
+    """Problems of predictions, in all customers' videos, and of the users' curves."""
     _, predicted = whole_truth(spark, sf_dir)
     videos = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("video_id"), F.lit(2300.0).alias("duration"))
     found = V.violations(predicted, _scored(spark, sf_dir), videos, ["A", "N"])
@@ -202,12 +171,12 @@ def prop_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "box_pairs": box_pairs, "in_zone": in_zone, "line_side": line_side, "event_scores": event_scores, "match_candidates": match_candidates, "match_candidates_whole": match_candidates_whole, "average_precision": average_precision, "alarm_starts": alarm_starts, "alarm_shares": alarm_shares,
-    "events_per_class": events_per_class, "counts_by_day": counts_by_day, "rate_per_day": rate_per_day, "heat_strip": heat_strip, "heat_strip_whole": heat_strip_whole, "levels": levels, "clock_times": clock_times, "longest_events": longest, "ablation_delta": ablation_delta,
-    "percentiles": percentiles, "otsu_threshold": otsu, "label_sets": label_sets, "violations": violations, "violations_whole": violations_whole, "prop_counts": prop_counts,
+    "box_pairs": box_pairs, "in_zone": in_zone, "line_side": line_side, "event_scores": event_scores, "match_candidates": match_candidates, "average_precision": average_precision, "alarm_starts": alarm_starts, "alarm_shares": alarm_shares,
+    "events_per_class": events_per_class, "counts_by_day": counts_by_day, "rate_per_day": rate_per_day, "heat_strip": heat_strip, "levels": levels, "clock_times": clock_times, "longest_events": longest, "ablation_delta": ablation_delta,
+    "percentiles": percentiles, "otsu_threshold": otsu, "label_sets": label_sets, "violations": violations, "prop_counts": prop_counts,
 }
 
-_TRUTH = f"""{_IV}, tr AS (SELECT c_nationkey::VARCHAR AS video_id, flag AS label, "order" AS ord, start::DOUBLE AS start, "end"::DOUBLE AS "end" FROM iv JOIN customer ON cust = c_custkey WHERE "order" % 23 = 0 AND "end" > start),
+_TRUTH = f"""{_IV}, tr AS (SELECT cust::VARCHAR AS video_id, flag AS label, "order" AS ord, start::DOUBLE AS start, "end"::DOUBLE AS "end" FROM iv WHERE "end" > start),
 pr0 AS (SELECT video_id, label, ord, start + ord % 40 AS start, "end" + ord % 17 AS "end" FROM tr WHERE ord % 3 > 0), pr AS (SELECT * FROM pr0 WHERE "end" > start),
 mp AS (SELECT t.label, t.video_id, t.ord AS i, p.ord AS j, (least(t."end", p."end") - greatest(t.start, p.start)) / (t."end" - t.start + p."end" - p.start - (least(t."end", p."end") - greatest(t.start, p.start))) AS iou
   FROM tr t JOIN pr p ON t.video_id = p.video_id AND t.label = p.label AND t.start < p."end" AND p.start < t."end")"""
@@ -237,7 +206,7 @@ ORACLE_SQL = {
     "events_per_class": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "counts_by_day": f"WITH {EVENTS} SELECT (t_us // 86400000000)::BIGINT AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM ev GROUP BY 1",
     "rate_per_day": f"WITH {EVENTS} SELECT user_id, count(*) AS n, CASE WHEN max(t_us) > min(t_us) THEN (count(*) * 86400000000000::HUGEINT // (max(t_us) - min(t_us)))::BIGINT ELSE 0 END AS per_1000_days FROM ev GROUP BY user_id",
-    "heat_strip": f"""WITH {_IV}, r AS (SELECT cust, flag, least(floor(start / 2600.0 * 24), 23)::BIGINT AS a, least(floor("end" / 2600.0 * 24), 23)::BIGINT AS b FROM iv WHERE "order" % 10 = 0 AND start BETWEEN 0 AND 2600 AND "end" <= 2600),
+    "heat_strip": f"""WITH {_IV}, r AS (SELECT cust, flag, least(floor(start / 2600.0 * 24), 23)::BIGINT AS a, least(floor("end" / 2600.0 * 24), 23)::BIGINT AS b FROM iv WHERE start BETWEEN 0 AND 2600 AND "end" <= 2600),
       x AS (SELECT cust, flag, unnest(range(a, greatest(a, b) + 1)) AS bin FROM r) SELECT cust, bin, count(*) AS n, string_agg(DISTINCT flag, ',' ORDER BY flag) AS labels FROM x GROUP BY cust, bin""",
     "levels": f"WITH {EVENTS} SELECT CASE WHEN value100 IS NULL THEN '-' WHEN value100 >= 11000 THEN 'day' WHEN value100 >= 6000 THEN 'dusk/overcast' ELSE 'night' END AS lighting, CASE WHEN value100 >= 5000 THEN 'ALARM' WHEN value100 >= 2500 THEN 'ELEVATED' ELSE 'LOW' END AS level, upper(replace(event_type, '_', ' ')) AS kind, count(*) AS n FROM ev GROUP BY ALL",
     "clock_times": f"WITH {EVENTS}, d AS (SELECT event_id, (t_us % 3600000000) // 100000 AS x FROM ev) SELECT event_id, (x // 600)::VARCHAR || ':' || lpad(((x // 10) % 60)::VARCHAR, 2, '0') || '.' || (x % 10)::VARCHAR AS clock FROM d",
@@ -250,7 +219,10 @@ ORACLE_SQL = {
       SELECT s.event_type, t.q AS threshold_q FROM s LEFT JOIN (SELECT event_type, q, row_number() OVER (PARTITION BY event_type ORDER BY v DESC, q) AS k FROM b) t ON t.event_type = s.event_type AND t.k = 1""",
     "label_sets": """WITH p AS (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 120), c AS (SELECT user_id FROM events WHERE event_type = 'click' AND value > 120)
       SELECT count(*) AS n, sum(user_id)::BIGINT AS ids, 'except' AS op FROM (SELECT * FROM p EXCEPT SELECT * FROM c) UNION ALL SELECT count(*), sum(user_id)::BIGINT, 'intersect' FROM (SELECT * FROM p INTERSECT SELECT * FROM c) UNION ALL SELECT count(*), sum(user_id)::BIGINT, 'union' FROM (SELECT * FROM p UNION SELECT * FROM c)""",
-    "violations": f"""WITH {_TRUTH}, n AS (SELECT *, lead(start) OVER (PARTITION BY video_id, label ORDER BY start, "end") AS nx FROM pr)
-      SELECT problem, count(*) AS n FROM (SELECT unnest([CASE WHEN label NOT IN ('A', 'N') THEN 'unknown label' END, CASE WHEN start < 0 OR "end" > 2300 + 1e-6 THEN 'outside the video' END, CASE WHEN nx < "end" THEN 'overlap' END]) AS problem FROM n) WHERE problem IS NOT NULL GROUP BY problem""",
+    "violations": f"""WITH {_TRUTH}, {EVENTS}, n AS (SELECT *, lead(start) OVER (PARTITION BY video_id, label ORDER BY start, "end") AS nx FROM pr),
+      c AS (SELECT value100, t_us < lag(t_us) OVER (PARTITION BY user_id ORDER BY event_id) AS back FROM ev)
+      SELECT problem, count(*) AS n FROM (SELECT unnest([CASE WHEN label NOT IN ('A', 'N') THEN 'unknown label' END, CASE WHEN start < 0 OR "end" > 2300 + 1e-6 THEN 'outside the video' END, CASE WHEN nx < "end" THEN 'overlap' END]) AS problem FROM n
+        UNION ALL SELECT CASE WHEN back THEN 'time goes back' ELSE 'no score' END FROM c WHERE back OR value100 < 0 OR value100 IS NULL
+        UNION ALL SELECT 'no prediction' FROM customer WHERE c_custkey::VARCHAR NOT IN (SELECT video_id FROM pr)) WHERE problem IS NOT NULL GROUP BY problem""",
     "prop_counts": "SELECT event_type, count(try_cast(props ->> '$.k' AS BIGINT)) AS n, sum(try_cast(props ->> '$.k' AS BIGINT))::BIGINT AS total, max(try_cast(props ->> '$.k' AS BIGINT)) AS most FROM events GROUP BY 1",
 }

@@ -42,7 +42,9 @@ def context(spark: SparkSession, sf_dir: str) -> Context:
     videos = trajectories(spark, sf_dir).select(F.floor(F.col("tid") / GROUP).cast("string").alias("video_id")).distinct().withColumn("duration", F.lit(67.0))
     ticks = videos.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(66))).alias("k"))
     signals = ticks.select("video_id", F.lit("lamp").alias("signal"), F.col("k").cast("double").alias("t"), ((F.floor(F.col("k") / 15) + F.col("video_id").cast("int")) % 2 == 1).alias("red"))
-    boxes = obs.where("kind = 'person' and tid % 5 = 0").select("video_id", F.round("t").alias("t"), "x1", "y1", "x2", "y2", F.lit(0.8).alias("conf"), F.lit(1).alias("cls")).dropDuplicates(["video_id", "t"])
+    # all people are smoke as well: of each, the first box of a second
+    first = obs.where("kind = 'person'").groupBy("video_id", "tid", F.round("t").alias("at")).agg(F.min_by(F.struct("x1", "y1", "x2", "y2"), "t").alias("box"))
+    boxes = first.select("video_id", F.col("at").alias("t"), "box.*", F.lit(0.8).alias("conf"), F.lit(1).alias("cls"))
     return Context(obs, videos, LAYOUT, signals=signals, fire=(ticks.select("video_id", F.col("k").cast("double").alias("t")), boxes))
 
 

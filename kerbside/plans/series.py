@@ -99,17 +99,8 @@ def interval_stab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def final_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as raw events of their nation's video, cleaned up: clipped, merged per label, short ones dropped."""
-    nation = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cust"), F.col("c_nationkey").cast("string").alias("video_id"))
-    return _final(intervals(spark, sf_dir).where("order % 29 = 0").join(nation, "cust"))
-
-
-def final_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all orders, as raw events of their customer's video."""
-    return _final(intervals(spark, sf_dir).withColumn("video_id", F.col("cust").cast("string")))
-
-
-def _final(rows: DataFrame) -> DataFrame:
+    """All orders as raw events of their customer's video, cleaned up: clipped, merged per label, short ones dropped."""
+    rows = intervals(spark, sf_dir).withColumn("video_id", F.col("cust").cast("string"))
     raw = rows.select("video_id", "start", "end", F.col("flag").alias("label"), F.array(F.col("order").cast("bigint")).alias("tids"))
     videos = rows.select("video_id").distinct().withColumn("duration", F.lit(2000).cast("bigint"))
     out = Q.finalize(raw, videos, {"A": 5.0, "N": 0.0}, {"A": 30.0})
@@ -135,7 +126,7 @@ def signal_age(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "runs": runs, "enter_leave": enter_leave, "hysteresis": hysteresis, "line_crossings_1d": crossings, "trailing_minimum": trailing_minimum, "decayed_peak": decayed_peak, "k_of_n": k_of_n, "held": held,
     "sessions": session_windows, "nearest_asof": _asof("nearest"), "forward_asof": _asof("forward"), "backward_asof": _asof("backward"), "forward_asof_clamped": _asof("forward", True),
-    "merge_segments": merged_intervals, "overlap_join": overlap_join, "interval_stab": interval_stab, "finalize": final_events, "finalize_whole": final_events_whole, "thinned": thinned, "signal_age": signal_age,
+    "merge_segments": merged_intervals, "overlap_join": overlap_join, "interval_stab": interval_stab, "finalize": final_events, "thinned": thinned, "signal_age": signal_age,
 }
 
 _RUNS = """g AS (SELECT *, CASE WHEN t_us - lag(t_us) OVER w <= {gap} THEN 0 ELSE 1 END AS fresh FROM ev WHERE {flag} WINDOW w AS (PARTITION BY user_id ORDER BY t_us)),
@@ -171,7 +162,7 @@ ORACLE_SQL = {
       b AS (SELECT *, sum(fresh) OVER (PARTITION BY cust ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS run FROM a) SELECT cust, min(start) AS start, max("end") AS "end", count(*) AS n FROM b GROUP BY cust, run""",
     "overlap_join": f'WITH {_IV} SELECT x.cust, x."order" AS a, y."order" AS b FROM iv x JOIN iv y ON x.cust = y.cust AND x."order" < y."order" AND x.start <= y."end" AND y.start <= x."end"',
     "interval_stab": f'WITH {_IV} SELECT d::BIGINT AS day, count(*) AS n, count(DISTINCT cust) AS customers FROM iv, range(0, 2401, 91) d(d) WHERE d BETWEEN start AND "end" GROUP BY d',
-    "finalize": f"""WITH {_IV}, raw AS (SELECT c_nationkey::VARCHAR AS video_id, greatest(start, 0) AS s, least("end", 2000) AS e, flag AS label, "order" FROM iv JOIN customer ON cust = c_custkey WHERE "order" % 29 = 0),
+    "finalize": f"""WITH {_IV}, raw AS (SELECT cust::VARCHAR AS video_id, greatest(start, 0) AS s, least("end", 2000) AS e, flag AS label, "order" FROM iv),
       a AS (SELECT *, CASE WHEN s - max(e) OVER (PARTITION BY video_id, label ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= CASE label WHEN 'A' THEN 5 WHEN 'N' THEN 0 ELSE 1 END THEN 0 ELSE 1 END AS fresh FROM raw),
       b AS (SELECT *, sum(fresh) OVER (PARTITION BY video_id, label ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM a)
       SELECT video_id, min(s) AS start, max(e) AS "end", label, count(DISTINCT "order") AS n_tids FROM b GROUP BY video_id, label, run HAVING max(e) - min(s) >= CASE label WHEN 'A' THEN 30 ELSE 0.5 END""",

@@ -54,7 +54,7 @@ def test_match_candidates(spark, truth):
     want = defaultdict(list)
     for (_, label), i, _, x in pairs(truth, 0.5):
         want[label].append((i, int(x * 1000 + 1e-6)))
-    got = {r["label"]: (r["pairs"], r["truths"], r["iou1000"]) for r in registry.QUERIES["match_candidates_whole"](spark, SF).collect()}
+    got = {r["label"]: (r["pairs"], r["truths"], r["iou1000"]) for r in registry.QUERIES["match_candidates"](spark, SF).collect()}
     assert got == {k: (len(v), len({i for i, _ in v}), sum(x for _, x in v)) for k, v in want.items()}
 
 
@@ -91,7 +91,7 @@ def test_finalize(spark, orders):
             else:
                 runs.append([s, e, 1])
         want += [(video, s, e, label, n) for s, e, n in runs if e - s >= (30 if label == "A" else 0.5)]
-    assert sorted(tuple(r) for r in registry.QUERIES["finalize_whole"](spark, SF).collect()) == sorted(want)
+    assert sorted(tuple(r) for r in registry.QUERIES["finalize"](spark, SF).collect()) == sorted(want)
 
 
 def test_heat_strip(spark, orders):
@@ -101,7 +101,7 @@ def test_heat_strip(spark, orders):
             a, b = (min(int(r[k] / 2600 * 24), 23) for k in ("start", "end"))
             for k in range(a, max(a, b) + 1):
                 want[r["cust"], k].append(r["flag"])
-    got = {(r["cust"], r["bin"]): (r["n"], r["labels"]) for r in registry.QUERIES["heat_strip_whole"](spark, SF).collect()}
+    got = {(r["cust"], r["bin"]): (r["n"], r["labels"]) for r in registry.QUERIES["heat_strip"](spark, SF).collect()}
     assert got == {k: (len(v), ",".join(sorted(set(v)))) for k, v in want.items()}
 
 
@@ -120,9 +120,7 @@ def test_violations_of_curves_and_videos(spark, truth, tmp_path):
     back = sum(a["user_id"] == b["user_id"] and a["event_id"] % 100 == 3 and b["event_id"] % 100 != 3 for a, b in zip(rows, rows[1:]))
     scoreless = sum(b["event_id"] % 100 in (1, 2) and not (i and rows[i - 1]["user_id"] == b["user_id"] and rows[i - 1]["event_id"] % 100 == 3) for i, b in enumerate(rows))
     predicted = {v: sum(len(g[1]) for (w, _), g in truth.items() if w == v) for v, _ in truth}
-    got = {r["problem"]: r["n"] for r in registry.QUERIES["violations_whole"](spark, str(tmp_path)).collect()}
-    part = {r["problem"]: r["n"] for r in registry.QUERIES["violations"](spark, str(tmp_path)).collect()}
-    for found in (got, part):
-        assert (found["time goes back"], found["no score"]) == (back, scoreless) and back and scoreless
+    got = {r["problem"]: r["n"] for r in registry.QUERIES["violations"](spark, str(tmp_path)).collect()}
+    assert (got["time goes back"], got["no score"]) == (back, scoreless) and back and scoreless
     assert got["unknown video"] == predicted[str(gone)]
     assert got["no prediction"] == sum(not predicted.get(str(r["c_custkey"])) for r in customers.collect() if r["c_custkey"] != gone)
