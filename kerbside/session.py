@@ -30,8 +30,8 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8, memory: str
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that checkpoints have a folder.
 
-    The checkpoint folder is the cluster's (spark.checkpoint.dir); a temporary one is set only where there is none. Arrow
-    batches, which Spark bounds by rows, are made small enough for rows that hold long texts.
+    The checkpoint folder is the cluster's (spark.checkpoint.dir). Where there is none, it is a folder in the warehouse, which a
+    cluster's machines share, or with a local master a temporary one. Arrow batches, which Spark bounds by rows, are made small enough for rows that hold long texts.
     """
     if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's own default
         spark.conf.set(ARROW_ROWS, "1000")
@@ -40,7 +40,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(os.pathsep):
         context.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, known) if x)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kerbside-"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own:
+            own = tempfile.mkdtemp(prefix="kerbside-") if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        context.setCheckpointDir(own)
     return spark
 
 
