@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from kerbside.plans import live, motion, reports, rules, series
+from kerbside.plans import boards, live, motion, reports, rules, series
 
-FAMILIES = (motion, series, reports, live, rules)
+FAMILIES = (motion, series, reports, boards, live, rules)
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 ORACLE_SQL = {name: sql for family in FAMILIES for name, sql in family.ORACLE_SQL.items()}
