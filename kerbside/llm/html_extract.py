@@ -7,7 +7,7 @@ element the odds of being main content. A Viterbi pass over the tree then picks
 cost for each change between parent and child, so that an element and its ancestors don't contradict each other.
 
 There are no labels for pages, so training pages are made from at most SAMPLE of the given pages (the bound is the
-parameter `sample`, those with a marked article first; of each the training copy ends after LONGEST characters): their marked
+parameter `sample`; different texts, those with a marked article first; of each the training copy ends after LONGEST characters): their marked
 article is the content, or their paragraphs where no page is marked, and blocks of the kinds that pages carry (menus, notices,
 comments and so on, filled with text of other pages) are grafted around and into it under varied names, as are the
 containers of the article itself and parts such as lists, tables and figures. Whole pages are extracted, whatever their length.
@@ -391,9 +391,11 @@ def extract(model: Boosted, sources: list[str]) -> list[str]:
 def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     own = C.with_defaults(pages, page_id="bigint", url="string", html="string")
-    copies = own.where("html is not null").select(F.substring("html", 1, LONGEST).alias("html"))
-    first = F.col("html").rlike(r"(?i)<(article|main)\b")
-    chosen = copies.orderBy(first.desc(), F.xxhash64("html"), "html").limit(sample).collect()  # at most `sample` copies of LONGEST characters
+    # of each of `sample` shares of the texts' hashes the least one, marked pages first
+    place = F.shiftrightunsigned(F.xxhash64("html"), 2) + F.when(F.col("html").rlike(r"(?i)<(article|main)\b"), F.lit(0)).otherwise(F.lit(1 << 62))
+    copies = own.where("html is not null").select(F.substring("html", 1, LONGEST).alias("html")).withColumn("place", place)
+    least = [r["place"] for r in copies.groupBy(F.col("place").bitwiseAND(F.lit((1 << 62) - 1)) % F.lit(sample)).agg(F.min("place").alias("place")).collect()]  # at most `sample` numbers
+    chosen = copies.where(F.col("place").isin(least)).groupBy("place").agg(F.min("html").alias("html")).orderBy("place").collect()  # at most `sample` copies of LONGEST characters
     shared = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in chosen]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
