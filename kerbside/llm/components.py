@@ -3,7 +3,7 @@
 Each partition first contracts its own edges by a local union-find, which leaves a forest; then alternating large-star and
 small-star steps hook every tree to the smallest id reachable until nothing changes. A node with very many larger
 neighbours isn't dealt to one task: at most HOT_NODES of them are told to all tasks with their smallest neighbours, and their
-edges are rewritten where they lie. Each round is cut by a checkpoint; the driver sees that bounded table and one number.
+edges are rewritten where they lie. Exchanges name no number of partitions, so that the adaptive plan fits it to the edges left. Each round is cut by a checkpoint; the driver sees that bounded table and one number.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm.common import spread
-
 #: Hot keys are the HOT_NODES most frequent ones of those with more than HOT_EDGES rows; all others have less than 1 in HOT_NODES of the rows.
 HOT_NODES, HOT_EDGES = 512, 256
 SALTS = 32
@@ -106,7 +104,6 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends and loops link nothing; repeated edges do no harm; without edges the result is empty.
     """
     schema = "a bigint, b bigint, changed boolean"
-    n = spread(edges)
     e = edges.select("a", "b").where("a <> b").mapInArrow(contract, "a bigint, b bigint").withColumn("changed", F.lit(False)).checkpoint()
     while True:
         often, moved, turns = hot(e, "b"), None, F.array(F.lit(False), F.lit(True))
@@ -118,9 +115,9 @@ def components(edges: DataFrame) -> DataFrame:
             turns = F.when(F.col("b").isin(often), F.array(F.lit(False))).otherwise(turns)
         turned = e.select("a", "b", F.explode(turns).alias("turned"))
         both = turned.select(F.when(F.col("turned"), F.col("b")).otherwise(F.col("a")).alias("a"), F.when(F.col("turned"), F.col("a")).otherwise(F.col("b")).alias("b"))
-        large = both.repartition(n, "a").sortWithinPartitions("a", "b").mapInArrow(large_star, schema)
+        large = both.repartition("a").sortWithinPartitions("a", "b").mapInArrow(large_star, schema)
         large = large if moved is None else large.union(moved)
-        e = large.repartition(n, "a").sortWithinPartitions("a", "b", F.desc("changed")).mapInArrow(small_star, schema).checkpoint()
+        e = large.repartition("a").sortWithinPartitions("a", "b", F.desc("changed")).mapInArrow(small_star, schema).checkpoint()
         if not e.agg(F.max("changed")).first()[0]:
             break
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).distinct()
