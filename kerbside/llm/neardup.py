@@ -33,8 +33,7 @@ DEALT = 8192
 BAND, CENTRE, PAIR, MEMBER = 0, 1, 2, 3
 #: Minima kept as b-bit values, how many bits of each, and longs that hold them.
 N_BITS, BITS = 128, 4
-PER_LONG = 64 // BITS
-LONGS = N_BITS // PER_LONG
+LONGS = N_BITS // 64 * BITS
 #: Shingle sets are compared by size classes, a class holding sizes up to a twentieth apart.
 CLASS = 1.05
 
@@ -68,9 +67,9 @@ def band_keys(mins: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def pack_bits(mins: np.ndarray) -> np.ndarray:
-    """The low bits of N_BITS minima, packed (rows x LONGS)."""
-    low = (mins & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(mins), LONGS, PER_LONG)
-    return np.bitwise_or.reduce(low << (np.arange(PER_LONG, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
+    """The low bits of N_BITS minima in planes: of each 64 minima a long for every bit (rows x LONGS)."""
+    planes = mins.reshape(len(mins), -1, 1, 64) >> np.arange(BITS, dtype=np.uint32)[:, None] & np.uint32(1)
+    return np.packbits(planes.astype(bool), axis=3, bitorder="little").reshape(len(mins), LONGS * 8).view(np.int64)
 
 
 def bits_column(mins: np.ndarray) -> pa.Array:
@@ -78,13 +77,11 @@ def bits_column(mins: np.ndarray) -> pa.Array:
 
 
 def estimate(x: str, y: str):
-    """The similarity by equal groups of bits, corrected for chance: a native expression over two arrays of longs."""
-    ones = F.lit(int("1" * PER_LONG, 16))
+    """The similarity by equal groups of bits, corrected for chance: a native expression over two arrays of longs, each named once a plane, as the compiler leaves long methods alone."""
     differ = F.lit(0)
-    for i in range(1, LONGS + 1):
-        z = F.element_at(x, i).bitwiseXOR(F.element_at(y, i))
-        z = reduce(lambda a, s: a.bitwiseOR(F.shiftrightunsigned(a, s)), (1, 2), z)
-        differ = differ + F.bit_count(z.bitwiseAND(ones))
+    for first in range(0, LONGS, BITS):
+        planes = [F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) for i in range(first, first + BITS)]
+        differ = differ + F.bit_count(reduce(lambda a, z: a.bitwiseOR(z), planes))
     chance = 2.0**-BITS
     return (1 - differ / N_BITS - chance) / (1 - chance)
 
@@ -317,17 +314,14 @@ def open_buckets(members: DataFrame, found: DataFrame, middle: int) -> tuple[Dat
 def bucket_estimates(close: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components in one bucket (key, id, component) that their packed bits don't rule out."""
     least = least_estimate(percent)
-    ones = np.uint64(int("1" * PER_LONG, 16))
 
     def run(group: pa.Table) -> pa.Table:
         ids, comp = np.asarray(group["id"]), np.asarray(group["component"])
         bits = np.asarray(group["bits"].combine_chunks().flatten()).view(np.uint64).reshape(-1, LONGS)
         left, right = [ids[:0]], [ids[:0]]
         for i in range(len(ids) - 1):
-            z = bits[i] ^ bits[i + 1 :]
-            z |= z >> np.uint64(1)
-            z |= z >> np.uint64(2)
-            differ = np.bitwise_count(z & ones).sum(1)
+            planes = (bits[i] ^ bits[i + 1 :]).reshape(-1, LONGS // BITS, BITS)
+            differ = np.bitwise_count(np.bitwise_or.reduce(planes, axis=2)).sum(1, dtype=np.int64)
             fits = (1 - differ / N_BITS - 2.0**-BITS) / (1 - 2.0**-BITS) >= least
             at = i + 1 + np.flatnonzero(fits & (comp[i + 1 :] != comp[i]))
             left.append(np.full(len(at), ids[i]))
