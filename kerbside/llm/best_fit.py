@@ -228,7 +228,7 @@ def packed(lengths: np.ndarray, full: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def pack_round(rows: DataFrame, turn: int, full: int) -> DataFrame:
     """sequence_id, offset and whether the sequence is open, for each row, by groups of each partition's rows."""
-    schema = StructType(rows.schema.fields).add("sequence_id", LongType()).add("offset", LongType()).add("open", BooleanType())
+    schema = StructType([*rows.schema.fields]).add("sequence_id", LongType()).add("offset", LongType()).add("open", BooleanType())
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
