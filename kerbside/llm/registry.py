@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kerbside.llm import best_fit, byte_bpe, divergence, html_extract, line_dedup, minhash_dedup, packing, quality_rules, sharding, suffix_dedup, topk_search, toxicity
+from kerbside.llm import ball_tree, best_fit, byte_bpe, divergence, html_extract, line_dedup, minhash_dedup, packing, quality_rules, sharding, suffix_dedup, topk_search, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_ball_tree": ball_tree.op11_ball_tree,
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_best_fit": best_fit.op13_best_fit,
 }
 
-ORACLE_SQL = {"op2_topk_search": topk_search.OP2_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op12_source_divergence": divergence.OP12_SQL}
+ORACLE_SQL = {"op2_topk_search": topk_search.OP2_SQL, "op7_quality_rules": quality_rules.OP7_SQL, "op11_ball_tree": ball_tree.OP11_SQL, "op12_source_divergence": divergence.OP12_SQL}
