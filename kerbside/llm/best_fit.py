@@ -39,7 +39,7 @@ FULL, END_ID = 2048, 0
 GROUP = 8192
 #: A bin with more than this share of its room free goes to the next round.
 OPEN = 1 / 64
-#: Bins of a group that the search tries to empty after its last success, emptiest first.
+#: Bins of a group that the search tries in turn, emptiest first, since its last exchange.
 TRIES = 8
 #: Rounds end when one saves less than this share of its bins.
 GAIN = 0.001
@@ -204,13 +204,12 @@ def improve(bins: list[list[int]], lengths: list[int], full: int) -> list[list[i
     stuck = 0
     while len(closed) + len(under) > need and stuck < min(TRIES, len(under) - 1):
         under.sort(key=lambda b: b.fill)
-        giver = under.pop(stuck)
+        giver, stuck = under.pop(stuck), stuck + 1
         while giver.items and (found := exchange(giver, under, full)):
             b, theirs, mine = found
             there, here = under[b].behind[theirs], giver.behind[mine]
             under[b] = Bin([i for i in under[b].items if i not in there] + [*here], lengths)
-            giver = Bin([i for i in giver.items if i not in here] + [*there], lengths)
-        stuck = stuck + 1 if giver.items else 0
+            giver, stuck = Bin([i for i in giver.items if i not in here] + [*there], lengths), 0
         if giver.items:
             under.append(giver)
     return closed + [b.items for b in under]
