@@ -109,3 +109,32 @@ def warped(g: DataFrame, m: list[float], values: tuple[str, ...], width: float =
     target = cells.select("r", "c", F.floor((m[3] * x + m[4] * y + m[5]) / b).cast("int").alias("sr"), F.floor((m[0] * x + m[1] * y + m[2]) / a).cast("int").alias("sc"))
     source = g.select("video_id", F.col("r").alias("sr"), F.col("c").alias("sc"), *values)
     return source.join(F.broadcast(target), ["sr", "sc"]).select("video_id", "r", "c", *values)  # the target has ROWS x COLS rows
+
+
+def warped_by_video(g: DataFrame, videos: DataFrame, bins: tuple[str, ...], values: tuple[str, ...], width: float = 1280.0, height: float = 720.0) -> DataFrame:
+    """The grids of the videos' scenes, each seen through its video's map. g: scene_id, r, c, bins, values; videos: video_id, scene_id, m.
+
+    m (six numbers, row by row; null: none) leads from the scene's pixels to the video's; on the grid its shift is in cells.
+    Each cell of the video takes the nearest one of the scene, halves up; what lies outside is empty.
+    """
+    m = F.coalesce("m", F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)]))
+    maps = videos.select("video_id", "scene_id", *[m[k].alias(f"m{k}") for k in (0, 1, 3, 4)], (m[2] * (COLS / width)).alias("m2"), (m[5] * (ROWS / height)).alias("m5"))
+    cells = maps.select("*", F.explode(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1))).alias("_k")).withColumn("r", F.floor(F.col("_k") / COLS).cast("int")).withColumn("c", (F.col("_k") % COLS).cast("int"))
+    det = F.col("m0") * F.col("m4") - F.col("m1") * F.col("m3")
+    x, y = F.col("c") - F.col("m2"), F.col("r") - F.col("m5")
+    cells = cells.withColumn("_sc", F.floor((F.col("m4") * x - F.col("m1") * y) / det + 0.5).cast("int")).withColumn("_sr", F.floor((F.col("m0") * y - F.col("m3") * x) / det + 0.5).cast("int"))
+    source = g.select("scene_id", F.col("r").alias("_sr"), F.col("c").alias("_sc"), *bins, *values)
+    return cells.join(source, ["scene_id", "_sr", "_sc"]).select("video_id", "r", "c", *bins, *values)
+
+
+def prior_of(cells: DataFrame, videos: DataFrame, dt: float = 0.1, width: float = 1280.0, height: float = 720.0) -> tuple[DataFrame, DataFrame]:
+    """A prior from many videos of a scene: their grids and votes, each seen back through its video's map, and summed by scene."""
+    m = F.col("m")
+    det = m[0] * m[4] - m[1] * m[3]
+    back = F.when(m.isNull(), None).otherwise(F.array(m[4] / det, -m[1] / det, (m[1] * m[5] - m[4] * m[2]) / det, -m[3] / det, m[0] / det, (m[3] * m[2] - m[0] * m[5]) / det))
+    turned = videos.select(F.col("video_id").alias("scene_id"), F.col("scene_id").alias("_scene"), back.alias("m")).withColumn("video_id", F.col("scene_id"))
+    out = []
+    for g, bins, values in ((grid(cells, dt), (), ("visits", "dwell")), (heading_votes(cells), ("b",), ("votes",))):
+        seen = warped_by_video(g.withColumnRenamed("video_id", "scene_id"), turned, bins, values, width, height).join(turned.select("video_id", "_scene"), "video_id")
+        out.append(seen.groupBy(F.col("_scene").alias("scene_id"), "r", "c", *bins).agg(*[F.sum(v).cast("double").alias(v) for v in values]))
+    return out[0], out[1]

@@ -54,7 +54,7 @@ def classify(rows: pd.DataFrame) -> pd.DataFrame:
     red = rows[rows.lamp == "red"].sort_values("t")
     on = lit(red.score.to_numpy(float))
     if on is None:
-        return pd.DataFrame({"video_id": [], "signal": [], "t": [], "red": []})
+        return pd.DataFrame({"video_id": pd.Series(dtype=str), "signal": pd.Series(dtype=str), "t": pd.Series(dtype=float), "red": pd.Series(dtype=bool)})
     green = rows[rows.lamp == "green"].sort_values("t")
     other = lit(green.score.to_numpy(float))
     if other is not None and len(green) == len(red):
