@@ -40,7 +40,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 FLOWS = INLINE | frozenset("area embed iframe img input link map meta noscript script source style svg template track wbr".split())  # these don't cut a line of text
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NEVER = RAW | frozenset("head form button select nav footer".split())
+NEVER = RAW | frozenset("head form button select nav footer aside".split())
 TAGS = ("html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "a", "b", "span", "nav", "header", "footer", "aside", "form", "blockquote", "pre", "table", "figure")
 #: A quote opens a value only after an equals sign, and only if it is closed.
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|=|[^>=]+)*+)(?:>|$)", re.S)
@@ -52,23 +52,48 @@ SWITCH = 2.5
 def raw_end(source: str, tag: str, place: int, closed: bool) -> int:
     """Where a raw element ends that starts before `place`.
 
-    One that closes itself is empty, unless its end tag comes before another start (`<script/>...</script>`). Drawings and
-    templates nest; an unclosed one of them is taken as empty, any other unclosed element goes on to the end of the page.
+    One that closes itself is empty, unless its end tag comes before another start (`<script/>...</script>`). An unclosed one goes
+    on to the end of the page.
     """
-    nests = tag in ("svg", "template")
-    if closed and tag == "svg":
-        return place
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I).finditer(source, place):
-        if m[1]:
-            depth -= 1
-            if depth == 0 or not nests:
-                return m.end()
-        elif closed:
+    m = re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I).search(source, place)
+    while m is not None and not m[1]:
+        if closed:
             return place
-        elif not m[2]:
-            depth += 1
-    return place if closed or nests else len(source)
+        m = re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I).search(source, m.end())
+    return m.end() if m else place if closed else len(source)
+
+
+def nested_ends(source: str, tag: str) -> dict[int, int]:
+    """Of drawings and templates, which nest: the end of each start tag and that of the end tag that belongs to it. Unclosed ones aren't there."""
+    open_, found = [], {}
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I).finditer(source):
+        if not m[1]:
+            if not m[2]:
+                open_.append(m.end())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
+class Stack:
+    """The open elements, and for each tag the places where it is open: every question takes the same time at any depth."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags, self.places = [0], ["html"], {"html": [0]}
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def last(self, tags) -> int:
+        """The deepest place of one of the tags; 0 if none is open (the root isn't asked for)."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.nodes) > place:
+            self.nodes.pop()
+            self.places[self.tags.pop()].pop()
 
 
 class Page:
@@ -77,12 +102,12 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.parent, self.tokens, self.end = ["html"], [-1], [()], [0]
         self.runs: list[tuple[int, int, str]] = []  # element, block number, text
-        stack, place, block = [0], 0, 0
+        stack, place, block, nested = Stack(), 0, 0, {}
         while True:
             m = TOKEN.search(source, place)
             text = source[place : m.start() if m else len(source)]
             if text:
-                self.runs.append((stack[-1], block, entities.unescape(text)))
+                self.runs.append((stack.nodes[-1], block, entities.unescape(text)))
             if m is None:
                 break
             place = m.end()
@@ -92,29 +117,21 @@ class Page:
             if m[1]:
                 if tag not in FLOWS:
                     block += 1
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == tag:
-                        del stack[i:]
-                        break
+                if at := stack.last((tag,)):
+                    stack.close(at)
                 continue
-            if tag in ("html", "body") and tag in (self.tags[x] for x in stack):
+            if tag in ("html", "body") and stack.places.get(tag):
                 continue
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == "p":
-                        del stack[i:]
-                        break
-                    if self.tags[stack[i]] in ("td", "th", "button", "table"):
-                        break
+                at = stack.last(("p",))
+                if at > stack.last(("td", "th", "button", "table")):
+                    stack.close(at)
             if tag in SIBLINGS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] in SIBLINGS[tag]:
-                        del stack[i:]
-                        break
-                    if self.tags[stack[i]] in ("ul", "ol", "dl", "table", "select"):
-                        break
+                at = stack.last(SIBLINGS[tag])
+                if at > stack.last(("ul", "ol", "dl", "table", "select")):
+                    stack.close(at)
             if tag == "br":
-                self.runs.append((stack[-1], block, " "))
+                self.runs.append((stack.nodes[-1], block, " "))
                 continue
             if tag not in FLOWS:
                 block += 1
@@ -124,12 +141,18 @@ class Page:
             if m[3]:
                 own = tuple(t for a in ATTRIBUTE.findall(m[3]) for t in re.split(r"[^a-z]+", (a[1] or a[2] or a[3]).lower()) if t)
             self.tags.append(tag)
-            self.parent.append(stack[-1])
+            self.parent.append(stack.nodes[-1])
             self.tokens.append(own)
-            if tag in RAW:
-                place = raw_end(source, tag, place, m[3].rstrip().endswith("/"))
-            elif not m[3].rstrip().endswith("/"):
-                stack.append(len(self.tags) - 1)
+            closed = m[3].rstrip().endswith("/")
+            if tag in ("svg", "template"):
+                if not (closed and tag == "svg"):
+                    if tag not in nested:
+                        nested[tag] = nested_ends(source, tag)
+                    place = nested[tag].get(place, place)
+            elif tag in RAW:
+                place = raw_end(source, tag, place, closed)
+            elif not closed:
+                stack.push(len(self.tags) - 1, tag)
 
     def text(self, chosen: np.ndarray) -> str:
         """The chosen elements' own text, block by block."""
@@ -166,7 +189,7 @@ class Page:
             seen[parent[i]] = order[i] + 1
         up = np.maximum(parent, 0)
         chars = whole[:, 0]
-        out = np.zeros((n, 13 + 2 * (len(TAGS) + BUCKETS) + 4), np.float32)
+        out = np.zeros((n, 13 + 2 * (len(TAGS) + BUCKETS) + 7), np.float32)
         out[:, 0], out[:, 1], out[:, 2] = depth, order, children
         out[:, 3] = children[up] - 1
         out[:, 4] = order / np.maximum(children[up] - 1, 1)
@@ -187,7 +210,11 @@ class Page:
         out[:, first + width : first + 2 * width] = out[:, first : first + width]
         for i in range(1, n):
             np.maximum(out[i, first + width : first + 2 * width], out[parent[i], first + width : first + 2 * width], out=out[i, first + width : first + 2 * width])
-        out[:, first + 2 * width :] = out[up][:, [5, 6, 7, 11]]
+        # its text by its largest sibling's, and what its parent is like
+        largest = np.zeros(n)
+        np.maximum.at(largest, up[1:], chars[1:])
+        among = chars / np.maximum(largest[up], 1)
+        out[:, first + 2 * width :] = np.column_stack((among, among[up], out[up][:, [5, 6, 7, 10, 11]]))
         return out
 
 
@@ -245,7 +272,11 @@ class Boosted:
 
 
 def decode(page: Page, odds: np.ndarray) -> np.ndarray:
-    """The labelling of the tree with the largest sum of log odds, less SWITCH for each change from parent to child."""
+    """The labelling of the tree with the largest sum of log odds, less SWITCH for each change from parent to child.
+
+    Where that labels nothing as content, the element whose content speaks most for itself is taken, if any does: a page's only
+    change from outside to content costs nothing.
+    """
     n = len(odds)
     odds = np.clip(odds, -6, 6).tolist()
     parent = page.parent
@@ -262,16 +293,25 @@ def decode(page: Page, odds: np.ndarray) -> np.ndarray:
     for i in range(1, n):
         off, on = gain[i]
         chosen[i] = on > off - cost[i] if chosen[parent[i]] else on - cost[i] > off
+    if not chosen.any():
+        best = max(range(n), key=lambda i: -1e9 if inline[i] else gain[i][1] - gain[i][0])
+        if gain[best][1] > gain[best][0]:
+            chosen[best] = True
+            for i in range(best + 1, n):  # its elements alone
+                if chosen[parent[i]]:
+                    chosen[i] = gain[i][1] > gain[i][0] - cost[i]
     return chosen
 
 
 #: Names under which training pages carry blocks and articles: (element, attribute's tokens).
 BOILERPLATE = (
     ("nav", "menu"), ("ul", "menu nav"), ("div", "navbar"), ("header", "site header"), ("div", "header banner"), ("footer", ""), ("div", "footer"), ("aside", "sidebar"), ("div", "sidebar widget"), ("div", "ad"),
-    ("div", "advert ads"), ("div", "sponsored promo"), ("div", "cookie notice"), ("div", "notice alert"), ("div", "banner consent"), ("form", "search"), ("form", "newsletter subscribe"), ("div", "comments"), ("section", "comment list"),
-    ("ol", "comments"), ("div", "comment reply"), ("div", "related recommended"), ("div", "share social"), ("div", "breadcrumb"), ("div", "popup modal"), ("aside", ""), ("header", ""),
+    ("div", "advert ads"), ("div", "sponsored promo"), ("div", "cookie notice"), ("div", "notice alert"), ("div", "banner consent"), ("form", "search"), ("form", "newsletter subscribe"), ("form", ""), ("form", "contact"),
+    ("div", "related recommended"), ("ul", "share"), ("div", "share social"), ("div", "breadcrumb"), ("div", "popup modal"), ("aside", ""), ("aside", "more"), ("header", ""), ("nav", ""),
 )
-CONTAINERS = (("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article body"), ("section", "post entry"), ("div", "main"), ("div", "story text"), ("div", ""))
+COMMENTS = ("comments", "comment list", "comment", "replies", "reply", "responses", "discussion", "reader comments", "thread comments", "disqus thread", "reactions")
+CONTAINERS = (("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article body"), ("section", "post entry"), ("div", "main"), ("div", "story"), ("div", "story text"), ("div", "page"), ("section", ""), ("div", ""), ("div", ""))
+HIDDEN = ("<template><p>{}</p></template>", "<noscript>{}</noscript>", "<script>var a='{}'</script>", "<style>p{{}}</style>", "<iframe src=a></iframe>", "<svg><text>{}</text></svg>")
 MARKED = re.compile(r"<(article|main)\b[^>]*>(.*?)(?:</\1\s*>|$)", re.S | re.I)
 
 
@@ -298,24 +338,53 @@ def training_page(sources: list[str], rng: random.Random) -> tuple[Page, np.ndar
         a = rng.randrange(len(words))
         return " ".join(words[a : a + rng.randint(1, most)])
 
+    def word() -> str:
+        return re.sub(r"[^a-z]", "", prose(1).lower()) or "x"
+
+    def named(tag: str, name: str, inner: str, mark: int) -> str:
+        label = rng.choice((" ", "-", "_")).join(x for x in (*name.split(), rng.choice(("", "", "box", "wrap", "inner", word()))) if x) if name else rng.choice(("", "", word()))
+        return f'<{tag} data-k={mark}{f""" {rng.choice(("class", "id"))}="{label}\"""" if label else ""}>{inner}</{tag}>'
+
+    def comments() -> str:
+        """Blocks of one shape, one for each reader, perhaps with a name and a date, under a name that says so."""
+        tag, shape = rng.choice((("div", "div"), ("section", "div"), ("section", "p"), ("div", "p"), ("ol", "li"), ("ul", "li"), ("div", "article")))
+        by = rng.choice(("", "", f"<b>{prose(2)}</b> ", f"<span class=author>{prose(2)}</span> <time>{rng.randint(1, 28)} May</time> ", f"<h4>{prose(2)}</h4>"))
+        each = "".join(f"<{shape}>{by}{f'<p>{prose(40)}</p>' if shape not in ('p',) and rng.random() < 0.5 else prose(40)}</{shape}>" for _ in range(rng.randint(1, 6)))
+        head = rng.choice(("", "", f"<h3>{prose(2)}</h3>")) if tag not in ("ol", "ul") else ""
+        return named(tag, rng.choice(COMMENTS), head + each, 0)
+
     def graft() -> str:
         tag, name = rng.choice(BOILERPLATE)
+        if tag == "form":
+            fields = "".join(rng.choice((f"<label>{prose(3)}</label><input name=q>", f"<p>{prose(12)}</p>", "<input type=text>", f"<textarea>{prose(3)}</textarea>")) for _ in range(rng.randint(1, 3)))
+            return named(tag, name, fields + rng.choice((f"<button>{prose(2)}</button>", "<input type=submit>", "")), 0)
         kind = rng.random()
-        link = kind < 0.4 and "comment" not in name
+        link = kind < 0.4
         items = [f'<a href="/">{prose(3)}</a>' if link else f"<p>{prose(60)}</p>" if kind < 0.8 else prose(25) for _ in range(rng.randint(1, 6) if kind < 0.8 else 1)]
-        inner = "".join(f"<li>{x}</li>" if tag in ("ul", "ol") or (link and rng.random() < 0.7) else x for x in items)
-        extra = rng.choice(("", "box", "wrap", "inner"))
-        joint = rng.choice((" ", "-", "_"))
-        label = joint.join(x for x in (*name.split(), extra) if x)
-        mark = f' {rng.choice(("class", "id"))}="{label}"' if label else ""
-        return f"<{tag} data-k=0{mark}>{inner}</{tag}>"
-
-    # links and marks in running text are part of it
-    body = re.sub(r"<p>", lambda x: x[0] + (f'{prose(8)} <a href="/">{prose(3)}</a> ' if rng.random() < 0.25 else f"<em>{prose(2)}</em> " if rng.random() < 0.1 else ""), m[2])
-    for _ in range(rng.choice((0, 1, 1, 2))):  # within the article
-        cut = rng.choice([x.start() for x in re.finditer(r"<(?:p|h\d)\b", body)] + [len(body)])
-        body = body[:cut] + graft() + body[cut:]
-    for _ in range(rng.choice((0, 0, 1, 2))):  # article parts of other kinds
+        return named(tag, name, "".join(f"<li>{x}</li>" if tag == "ul" or (link and rng.random() < 0.7) else x for x in items), 0)
+
+    def inserted(body: str, part: str, end: float = 0.3) -> str:
+        """A part before some block of the body, or at its end."""
+        places = [x.start() for x in re.finditer(r"<(?:p|h\d|div)\b|<br><br>", body)]
+        at = rng.choice(places) if places and rng.random() > end else len(body)
+        return body[:at] + part + body[at:]
+
+    # some of the paragraphs, in one of the shapes that articles have; links and marks in running text are part of it
+    heading = (re.findall(r"<h1\b[^>]*>.*?</h1\s*>", m[2], re.S) or [""])[0]
+    paragraphs = [x for x in re.split(r"</?p\b[^>]*>", m[2].replace(heading, "")) if x.strip()][: rng.randint(1, 9)] or [prose(30)]
+    if rng.random() < 0.2:
+        paragraphs = [prose(rng.choice((15, 40, 90))) for _ in range(rng.randint(1, 8))]
+    paragraphs = [(f'{prose(8)} <a href="/">{prose(3)}</a> ' if rng.random() < 0.2 else f"<em>{prose(2)}</em> " if rng.random() < 0.1 else "") + x for x in paragraphs]
+    shape = rng.random()
+    if shape < 0.35:
+        body = "".join(f"<p>{x}" + rng.choice(("", "</p>")) for x in paragraphs)
+    elif shape < 0.6:
+        body = "".join(f"<p{rng.choice(('', f' class={word()}'))}>{x}</p>" for x in paragraphs)
+    elif shape < 0.8:
+        body = "".join(f"<div>{x}</div>" for x in paragraphs)
+    else:
+        body = rng.choice(("<br><br>", "<br><br>", "<br>")).join(paragraphs)
+    for _ in range(rng.choice((0, 0, 0, 1, 2))):  # article parts of other kinds
         rows = range(rng.randint(1, 4))
         part = rng.choice((
             f"<ul>{''.join(f'<li>{prose(20)}</li>' for _ in rows)}</ul>",
@@ -329,18 +398,35 @@ def training_page(sources: list[str], rng: random.Random) -> tuple[Page, np.ndar
             f"<h2>{prose(6)}</h2><p>{prose(80)}</p>",
             f"<div><p>{prose(60)}</p></div>",
         ))
-        at = rng.choice([x.start() for x in re.finditer(r"<(?:p|h\d)\b", body)] + [len(body)] * 2)
-        body = body[:at] + part + body[at:]
-    tag, name = rng.choice(CONTAINERS)
-    mark = f' {rng.choice(("class", "id"))}="{name.replace(" ", "-")}"' if name else ""
-    article = f"<{tag} data-k=1{mark}>{body}</{tag}>"
+        body = inserted(body, part)
+    for _ in range(rng.choice((0, 0, 1))):
+        body = inserted(body, rng.choice(HIDDEN).format(prose(6)))
+    for _ in range(rng.choice((0, 0, 1, 2))):  # blocks of other kinds within the article
+        body = inserted(body, graft())
+    after = rng.random()
+    if after < 0.2:
+        body += comments()
+    if heading and (where := rng.random()) < 0.7:
+        body = heading + body
+    if rng.random() < 0.25:
+        body = f"<div>{body}</div>"
+    article = named(*rng.choice(CONTAINERS), body, 1)
+    if heading and where > 0.85:
+        article = heading.replace("<h1", "<h1 data-k=1", 1) + article
+    if 0.2 < after < 0.45:
+        article += comments()
     shell = rng.random()
     outside = [graft() for _ in range(rng.randint(0, 3))], [graft() for _ in range(rng.randint(0, 3))]
-    if shell < 0.5:  # the page's own surroundings
+    if shell < 0.35:  # the page's own surroundings
         made = pick[: m.start()] + "".join(outside[0]) + article + "".join(outside[1]) + pick[m.end() :]
     else:
-        wrap = ("<div>", "</div>") if shell < 0.75 else ('<div class="wrapper container">', "</div>")
-        made = "<html><body>" + wrap[0] + "".join(outside[0]) + article + "".join(outside[1]) + wrap[1] + "</body></html>"
+        if shell < 0.6:  # a short page's
+            outside = [named("nav", "", f'<a href="/">{prose(2)}</a>', 0)], [named("footer", "", prose(4), 0)]
+        made = "".join(outside[0]) + article + "".join(outside[1])
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            tag = rng.choice(("div", "div", "main", "section"))
+            made = f"<{tag}{rng.choice(('', f' id={word()}', ' class=wrapper', ' class=container'))}>{made}</{tag}>"
+        made = f"<html><body>{made}</body></html>"
     page = Labelled(made)
     return page, page.labels()
 
@@ -367,7 +453,7 @@ class Labelled(Page):
         return out
 
 
-def train(sources: list[str], pages: int = 500, seed: int = 0) -> Boosted:
+def train(sources: list[str], pages: int = 1500, seed: int = 0) -> Boosted:
     """Trees over the elements of made pages; containers that hold both kinds count as outside, at a low weight."""
     rng = random.Random(seed)
     own = [x for x in sources if MARKED.search(x)] or [marked(x) for x in sources or [""]]
