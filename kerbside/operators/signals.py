@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_PHASE = 5.0
+#: The share of a lamp box's pixels under its score, and the pixels of a tile's side.
+LIT_SHARE, TILE = 0.97, 64
 
 
 def split(values: np.ndarray) -> tuple[np.ndarray, int] | None:
@@ -74,3 +76,24 @@ def red_since(states: DataFrame) -> DataFrame:
     own = Window.partitionBy("video_id", "signal").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     off = F.last(F.when(~F.col("red"), F.col("t")), ignorenulls=True).over(own)
     return states.withColumn("red_for", F.when(F.col("red"), F.col("t") - F.coalesce(off, F.first("t").over(own))).otherwise(0.0))
+
+
+def lamp_scores(pixels: DataFrame, boxes: DataFrame, side: int = TILE) -> DataFrame:
+    """video_id, signal, lamp, t and score of each lamp in each frame: how strong its colour is in its box.
+
+    pixels: video_id, t, px, py, red, green, blue (0 to 255; of the boxes' resolution, such as sources.layouts.placed_lamps gives);
+    boxes: video_id, signal, lamp, x1, y1, x2, y2 (x2 and y2 outside). The colour is red less the larger of the others, or
+    green less red, nothing below 0; the score is its 97th percentile, 0 for a box without pixels. Pixels meet boxes by tiles, and a
+    box's pixels are counted by value first, so a group has 256 rows at most.
+    """
+    frames = pixels.select("video_id", "t").distinct()
+    tiles = lambda a, b: F.sequence(F.floor(F.greatest(F.col(a), F.lit(0)) / side).cast("int"), F.floor(F.greatest(F.col(b) - 1, F.lit(0)) / side).cast("int"))
+    real = boxes.where((F.col("x2") > F.greatest(F.col("x1"), F.lit(0))) & (F.col("y2") > F.greatest(F.col("y1"), F.lit(0))))
+    dealt = real.withColumn("_tx", F.explode(tiles("x1", "x2"))).withColumn("_ty", F.explode(tiles("y1", "y2")))
+    placed = pixels.withColumn("_tx", F.floor(F.col("px") / side).cast("int")).withColumn("_ty", F.floor(F.col("py") / side).cast("int"))
+    met = placed.join(dealt, ["video_id", "_tx", "_ty"]).where((F.col("px") >= F.col("x1")) & (F.col("px") < F.col("x2")) & (F.col("py") >= F.col("y1")) & (F.col("py") < F.col("y2")))
+    colour = F.when(F.col("lamp") == "red", F.col("red") - F.greatest("green", "blue")).otherwise(F.col("green") - F.col("red"))
+    counts = met.select("video_id", "signal", "lamp", "t", F.greatest(colour, F.lit(0)).alias("v")).groupBy("video_id", "signal", "lamp", "t", "v").agg(F.count("*").alias("n"))
+    scores = counts.groupBy("video_id", "signal", "lamp", "t").agg(F.percentile("v", LIT_SHARE, F.col("n")).alias("score"))
+    every = frames.join(boxes.select("video_id", "signal", "lamp").distinct(), "video_id")
+    return every.join(scores, ["video_id", "signal", "lamp", "t"], "left").na.fill(0.0, ["score"])
