@@ -12,9 +12,12 @@ from kerbside.operators import scene as S
 from kerbside.operators.kinematics import observations, usable
 from kerbside.operators.pairs import candidate_pairs, pair_series
 from kerbside.plans.derived import TRAJECTORIES, trajectories
+from kerbside.plans.scripted import scripted
 from kerbside.rules import RULES, Context, Layout, conflicts, crossing, flow, junction, pedestrians, stationary  # noqa: F401  they register their rules
 
 GROUP = 12
+#: Rules that straight ways don't bring out: these have the scripted videos as well.
+SCRIPTED = ("accident", "congestion", "failure_to_yield", "illegal_u_turn", "jaywalking", "near_miss", "stop_line", "stopped_vehicle")
 
 
 def _box(x0: float, y0: float, x1: float, y1: float) -> list[tuple[float, float]]:
@@ -55,7 +58,8 @@ def _query(label: str) -> Callable[[SparkSession, str], DataFrame]:
             seen = S.grid(ctx.vehicles.withColumn("video_id", F.lit("all"))).drop("video_id")
             animals = F.when((F.col("kind") == "person") & (F.col("tid") % 7 == 0), "animal").otherwise(F.col("kind"))
             ctx = replace(ctx, obs=ctx.obs.withColumn("kind", animals), prior=(ctx.videos.select("video_id").crossJoin(seen), ctx.votes))
-        return RULES[label](ctx).select("video_id", F.round(F.col("start") * 1000).cast("bigint").alias("start_ms"), F.round(F.col("end") * 1000).cast("bigint").alias("end_ms"), "label", F.array_join("tids", ",").alias("tids"))
+        own = RULES[label](ctx).select("video_id", F.round(F.col("start") * 1000).cast("bigint").alias("start_ms"), F.round(F.col("end") * 1000).cast("bigint").alias("end_ms"), "label", F.array_join("tids", ",").alias("tids"))
+        return own.unionByName(scripted(label)(spark, sf_dir)) if label in SCRIPTED else own
 
     return query
 

@@ -69,6 +69,17 @@ class Context:
     def votes(self) -> DataFrame:
         return self.prior[1] if self.prior else S.heading_votes(self.vehicles)
 
+    @cached_property
+    def conflicts(self) -> DataFrame:
+        """Aligned samples of the pairs that come near each other: made once for the rules on pairs, and kept until `release`."""
+        from kerbside.rules.conflicts import conflict_series
+
+        return conflict_series(self).persist()
+
+    def release(self) -> None:
+        if "conflicts" in self.__dict__:
+            self.__dict__.pop("conflicts").unpersist()
+
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], EVENT)
 

@@ -11,13 +11,14 @@ from pyspark.sql.window import Window
 from kerbside.operators.kinematics import heading_change
 from kerbside.operators.pairs import PAIR, candidate_pairs, pair_series, paths_meet, time_to_collision
 from kerbside.operators.sequences import held
+from kerbside.operators.temporal import asof
 from kerbside.rules import Context, events, rule
 
 TRACK = ["video_id", "tid"]
 US = 1_000_000
 
 
-def conflicts(ctx: Context) -> DataFrame:
+def conflict_series(ctx: Context) -> DataFrame:
     users = ctx.obs.where("is_vehicle or kind = 'person'")
     return pair_series(users, candidate_pairs(users)).where("is_vehicle_a or is_vehicle_b")
 
@@ -35,13 +36,11 @@ def around(ctx: Context) -> DataFrame:
     return rows.withColumn("stable", (n >= 3) & (most / F.greatest(least, F.lit(1.0)) <= 1.4))
 
 
-def at_pair_time(rows: DataFrame, tracks: DataFrame, t: str, values: tuple[str, ...]) -> DataFrame:
-    """Values of both tracks of a pair at a time: of the nearest observation."""
+def at_pair_time(rows: DataFrame, tracks: DataFrame, t: str, values: tuple[str, ...], most: float = 1.5) -> DataFrame:
+    """Values of both tracks of a pair at a time: of the nearest observation, if it is not too far."""
     for k in "ab":
         side = tracks.select("video_id", F.col("tid").alias(k), F.col("t").alias("_t"), *[F.col(v).alias(f"{v}_{k}") for v in values])
-        keys = list(rows.columns)
-        near = rows.join(side, ["video_id", k]).where(F.abs(F.col("_t") - F.col(t)) <= 1.5)
-        rows = near.groupBy(*keys).agg(F.min_by(F.struct(*[f"{v}_{k}" for v in values]), F.struct(F.abs(F.col("_t") - F.col(t)), F.col("_t"))).alias("_n")).select(*keys, "_n.*")
+        rows = asof(rows, side, ["video_id", k], t, "_t").where(F.abs(F.col("_t") - F.col(t)) <= most).drop("_t")
     return rows
 
 
@@ -49,7 +48,7 @@ def at_pair_time(rows: DataFrame, tracks: DataFrame, t: str, values: tuple[str,
 def accident(ctx: Context, contact: float = 0.15, near: float = 0.5, approach: float = 1.2, drop: float = 1.2, together: float = 1.2) -> DataFrame:
     """A contact after an approach, with a sudden loss of speed, after which both stand still close together; the first of each pair."""
     own = Window.partitionBy(*PAIR).orderBy((F.col("t") * US).cast("bigint"))
-    series = conflicts(ctx).withColumn("approach", F.max("closing_rel").over(own.rangeBetween(-round(1.5 * US), -1)))
+    series = ctx.conflicts.withColumn("approach", F.max("closing_rel").over(own.rangeBetween(-round(1.5 * US), -1)))
     hits = series.where((F.col("iou") >= contact) & (F.col("dist_rel") <= near) & (F.col("approach") >= approach)).select(*PAIR, "t")
     known = at_pair_time(hits, around(ctx), "t", ("drop", "stop_at", "stable"))
     crash = known.where(F.col("stable_a") & F.col("stable_b") & (F.greatest("drop_a", "drop_b") >= drop) & F.col("stop_at_a").isNotNull() & F.col("stop_at_b").isNotNull())
@@ -62,14 +61,11 @@ def accident(ctx: Context, contact: float = 0.15, near: float = 0.5, approach: f
 
 def evasive(ctx: Context, brake: float = 2.5, swerve: float = math.radians(35)) -> DataFrame:
     """Vehicle observations that begin to brake hard (within 0.4 s) or to swerve (within 1 s)."""
-    v = ctx.obs.where("is_vehicle")
-    later = v.select(*TRACK, F.col("t").alias("_t"), F.col("rel_speed").alias("_rel"), F.col("vx").alias("_vx"), F.col("vy").alias("_vy"))
-    pairs = v.select(*TRACK, "t", "rel_speed", "vx", "vy").join(later, TRACK).where((F.col("_t") >= F.col("t")) & (F.col("_t") <= F.col("t") + 1.8))
-
-    def nearest(at: float) -> Column:
-        return F.min_by(F.struct("_t", "_rel", "_vx", "_vy"), F.struct(F.abs(F.col("_t") - F.col("t") - at), F.col("_t")))
-
-    both = pairs.groupBy(*TRACK, "t", "rel_speed", "vx", "vy").agg(nearest(0.4).alias("b"), nearest(1.0).alias("s"))
+    v = ctx.obs.where("is_vehicle").select(*TRACK, "t", "rel_speed", "vx", "vy")
+    both = v
+    for name, ahead in (("b", 0.4), ("s", 1.0)):  # the observations nearest to these times, by a sort and a look at the neighbours
+        there = v.select(*TRACK, F.col("t").alias("_t"), F.struct(F.col("t").alias("_t"), F.col("rel_speed").alias("_rel"), F.col("vx").alias("_vx"), F.col("vy").alias("_vy")).alias(name))
+        both = asof(both.withColumn("_at", F.col("t") + ahead), there, TRACK, "_at", "_t").drop("_t", "_at")
     braking = (F.col("b._t") > F.col("t")) & (F.try_divide(F.col("rel_speed") - F.col("b._rel"), F.col("b._t") - F.col("t")) >= brake)
     swerving = (F.col("rel_speed") > 0.5) & (heading_change(F.col("vx"), F.col("vy"), F.col("s._vx"), F.col("s._vy")) >= swerve)
     return both.select(*TRACK, "t", F.coalesce(braking, F.lit(False)).alias("brakes"), F.coalesce(swerving, F.lit(False)).alias("swerves"))
@@ -78,7 +74,7 @@ def evasive(ctx: Context, brake: float = 2.5, swerve: float = math.radians(35))
 @rule("near_miss")
 def near_miss(ctx: Context, contact: float = 0.12, soon: float = 1.2, clear: float = 1.5, most_seconds: float = 8.0) -> DataFrame:
     """A collision course held for two samples, with an evasive move and no contact."""
-    series = conflicts(ctx)
+    series = ctx.conflicts
     untouched = series.groupBy(*PAIR).agg(F.max("iou").alias("m"), F.max("t").alias("last")).where(F.col("m") < contact)
     meet = (time_to_collision(F.col("dist_rel"), F.col("closing_rel")) < soon) & paths_meet(soon)
     risky = series.withColumn("risky", held(PAIR, "t", meet, 2)).where("risky").groupBy(*PAIR).agg(F.min("t").alias("danger")).join(untouched.select(*PAIR, "last"), PAIR)

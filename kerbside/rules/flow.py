@@ -9,6 +9,7 @@ from kerbside.functions.geometry import any_of, inside, polygon
 from kerbside.operators import scene as S
 from kerbside.operators.kinematics import heading_bin
 from kerbside.operators.sequences import runs
+from kerbside.operators.temporal import asof
 from kerbside.rules import Context, events, rule
 
 TRACK = ["video_id", "tid"]
@@ -18,12 +19,10 @@ def track_ends(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*TRACK).agg(F.min("t").alias("track_start"), F.max("t").alias("track_end"), F.percentile("size", 0.5).alias("median_size"))
 
 
-def at_time(rows: DataFrame, obs: DataFrame, t: str, **columns: str):
-    """The track's observation nearest to `t` (the earlier of two), its columns under new names."""
-    near = rows.join(obs.select(*TRACK, F.col("t").alias("_t"), *[F.col(c).alias(f"_{c}") for c in set(columns.values())]), TRACK)
-    keys = [c for c in rows.columns]
-    best = near.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(f"_{c}").alias(n) for n, c in columns.items()]), F.struct(F.abs(F.col("_t") - F.col(t)), F.col("_t"))).alias("_b"))
-    return best.select(*keys, *[F.col(f"_b.{n}").alias(n) for n in columns])
+def at_time(rows: DataFrame, obs: DataFrame, t: str, **columns: str) -> DataFrame:
+    """The track's observation nearest to `t` (the earlier of two), its columns under new names. Rows of tracks without observations go."""
+    seen = obs.select(*TRACK, F.col("t").alias("_t"), *[F.col(c).alias(n) for n, c in columns.items()])
+    return asof(rows, seen, TRACK, t, "_t").where("_t IS NOT NULL").select(*rows.columns, *columns)
 
 
 def lane_road(ctx: Context, x, y):
