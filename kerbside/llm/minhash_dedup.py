@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from kerbside.llm import common as C
 from kerbside.llm.components import hot, labelled, salted_join
@@ -82,16 +83,30 @@ def labelled_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+    """doc_id, n_shingles, component_id, kept and the text's digest (t1, t2) of each row."""
     with C.tidy(docs.sparkSession):
         rows = signatures(docs).checkpoint()
         labels = labelled_classes(docs, rows)
-    own = rows.select("doc_id", "n_shingles", "d1", "d2")
+    own = rows.select("doc_id", "n_shingles", "d1", "d2", "t1", "t2")
     full = F.coalesce((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.lit(False))
-    found = salted_join(own.where(full), labels, ["d1", "d2"], "doc_id", hot(own, "d1")).select("doc_id", "n_shingles", "component_id")
-    alone = own.where(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    found = salted_join(own.where(full), labels, ["d1", "d2"], "doc_id", hot(own, "d1")).select("doc_id", "n_shingles", "component_id", "t1", "t2")
+    alone = own.where(~full).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "t1", "t2")
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns. Rows are told by id and text: another text under the same id has a fate of its own."""
+    schema = StructType([*docs.schema.fields]).add("_t1", LongType()).add("_t2", LongType())
+    place, names = docs.columns.index("text"), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = C.digests(*C.text_bytes(batch.column(place)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t[:, 0]), pa.array(t[:, 1])], names)
+
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id", F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
+    return docs.mapInArrow(run, schema).join(gone, ["doc_id", "_t1", "_t2"], "left_anti").select(*docs.columns)
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(C.documents(spark, sf_dir))
+    return near_duplicates(C.documents(spark, sf_dir)).drop("t1", "t2")
