@@ -2,7 +2,9 @@
 
 A word's input is a hashed word embedding beside the mean of hashed character n-gram embeddings (so that inflected and
 decorated forms resemble their stem). Two GRUs read windows of WINDOW words; attention pools their states into a logit.
-Windows overlap by half and cover the whole text; a text's logit is its windows' largest, calibrated on training texts.
+Windows overlap by half and cover the whole text. A text's score is a logistic of four sums over its windows' logits (the
+largest, the mean of the five largest, how many say so, and what share of all), fitted on training texts that the network hasn't seen:
+one telling word may stand in a clean text, and several of them don't.
 
 The network is trained in numpy on the driver, on at most SAMPLE labelled rows of each class (the bound is the
 parameter `sample`; rows are taken in the order of a hash of their id). Labels are of whole texts: in a toxic one the
@@ -30,6 +32,12 @@ ROWS = 1 << 15
 NGRAMS = (3, 4, 5)
 SAMPLE = 2000
 EPOCHS, BATCH = 8, 128
+#: Windows that stand for a toxic text, and one training text in so many that the network doesn't see: the last line is fitted on these.
+TELLING, UNSEEN = 3, 4
+#: What a false alarm costs by a miss, where both labels are equally frequent.
+CLEAN = 2.0
+#: An n-gram that so many texts have counts half.
+RARE = 10
 FOLDS = 5
 
 
@@ -217,7 +225,7 @@ def embed(p: dict, v: Vocabulary) -> np.ndarray:
 
 
 def log_odds(v: Vocabulary, toxic: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of each n-gram row by the texts that have it."""
+    """Smoothed log odds of each n-gram row by the texts that have it, drawn to 0 where these are few: else rare n-grams would say most."""
     seen = np.zeros((2, ROWS))
     n_grams = np.diff(v.gram_bounds)
     for label in (0, 1):
@@ -226,11 +234,47 @@ def log_odds(v: Vocabulary, toxic: np.ndarray) -> np.ndarray:
             at = np.repeat(v.gram_bounds[own], n_grams[own]) + (np.arange(n_grams[own].sum()) - np.repeat(np.cumsum(n_grams[own]) - n_grams[own], n_grams[own]))
             seen[label, np.unique(v.gram_rows[at])] += 1
     share = (seen + 0.5) / (np.array([[np.sum(toxic == 0)], [np.sum(toxic == 1)]]) + 1)
-    return np.log(share[1] / share[0]).astype(np.float32)
+    return (np.log(share[1] / share[0]) * (seen.sum(0) / (seen.sum(0) + RARE))).astype(np.float32)
+
+
+def summary(logit: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Four sums over each text's windows (every text has one)."""
+    text = C.rows_of(bounds)
+    by = np.lexsort((-logit, text))
+    rank = np.arange(len(by)) - bounds[:-1][text[by]]
+    first = np.where(rank < 5, logit[by], 0.0)
+    n = np.diff(bounds)
+    says = np.add.reduceat(sigmoid(logit.astype(np.float64)), bounds[:-1])
+    return np.column_stack((np.maximum.reduceat(logit, bounds[:-1]), np.add.reduceat(first, bounds[:-1]) / np.minimum(n, 5), np.log1p(says), np.sqrt(says / n)))
+
+
+def fitted(x: np.ndarray, y: np.ndarray, shrink: float = 1e-3) -> np.ndarray:
+    """Weights and shift of a logistic that takes the label 0 as CLEAN times as frequent as 1, by Newton's steps."""
+    z = np.column_stack((x, np.ones(len(x))))
+    weight = np.where(y == 1, 1 / max(1, (y == 1).sum()), CLEAN / max(1, (y == 0).sum())) / (1 + CLEAN)
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        q = sigmoid(z @ w)
+        h = (z * (weight * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ z + shrink * np.eye(len(w))
+        w = w + np.clip(np.linalg.solve(h, z.T @ (weight * (y - q)) - shrink * w), -2, 2)
+    return w
 
 
 def train(texts, toxic: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
-    """The network's weights, and the slope and shift of its calibration."""
+    """The network's weights, and those of the line over a text's windows."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    kept = np.ones(len(toxic), bool)
+    for label in (0, 1):
+        own = np.flatnonzero(toxic == label)
+        if len(own) >= 4 * UNSEEN:
+            kept[own[::UNSEEN]] = False
+    rest = np.flatnonzero(~kept) if not kept.all() else np.arange(len(toxic))
+    p = network(texts.take(pa.array(np.flatnonzero(kept))), toxic[kept], seed)
+    p["line"] = fitted(summary(*window_logits(p, texts.take(pa.array(rest)))), toxic[rest])
+    return p
+
+
+def network(texts, toxic: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     p, rng = initial(seed), np.random.default_rng(seed)
     v = Vocabulary(texts)
     places, length, bounds = v.windows()
@@ -248,19 +292,19 @@ def train(texts, toxic: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     grown = {k: np.full(ROWS, 1e-3, np.float32) for k in ("words", "grams")}
     step = 0
 
-    def top(scores: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    def top(scores: np.ndarray, texts: np.ndarray, n: int = 1) -> np.ndarray:
         order = np.lexsort((-scores, text))
-        first = order[np.append(True, text[order][1:] != text[order][:-1])]
+        first = order[np.arange(len(order)) - bounds[:-1][text[order]] < n]
         return first[np.isin(text[first], texts)]
 
     yes, no = np.flatnonzero(toxic == 1), np.flatnonzero(toxic == 0)
     for epoch in range(EPOCHS):
         if epoch in (3, 6):
             hint = logits(p, embed(p, v), index, length)
-        chosen = top(hint, yes)
+        chosen = top(hint, yes, TELLING)
         hard = top(hint, no)
         random = rng.choice(np.flatnonzero(np.isin(text, no)), size=len(no))
-        batchable = np.concatenate((np.repeat(chosen, max(1, len(no) // max(1, len(yes)) // 2)), hard, random))
+        batchable = np.concatenate((np.repeat(chosen, max(1, len(no) // max(1, len(chosen)) // 2)), hard, random))
         rng.shuffle(batchable)
         for first in range(0, len(batchable), BATCH):
             own = batchable[first : first + BATCH]
@@ -281,14 +325,6 @@ def train(texts, toxic: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
                 used, total = summed(rows, d)
                 grown[k][used] += (total**2).mean(1)
                 p[k][used] -= 0.05 * total / np.sqrt(grown[k][used])[:, None]
-    # calibration on whole texts: a line over the largest logit
-    peak = np.maximum.reduceat(logits(p, embed(p, v), index, length), bounds[:-1])
-    a, b = 1.0, 0.0
-    weight = np.where(toxic == 1, 0.5 / max(1, len(yes)), 0.5 / max(1, len(no)))
-    for _ in range(300):
-        err = (sigmoid(a * peak + b) - toxic) * weight
-        a, b = a - 0.2 * float(err @ peak), b - 0.5 * float(err.sum())
-    p["line"] = np.array([max(a, 0.05), b], np.float32)
     return p
 
 
@@ -324,14 +360,20 @@ def logits(p: dict, inputs: np.ndarray, index: np.ndarray, length: np.ndarray, b
     return out
 
 
-def scores(p: dict, texts) -> np.ndarray:
-    """The score of each whole text."""
+def window_logits(p: dict, texts) -> tuple[np.ndarray, np.ndarray]:
+    """The logits of all windows of the texts, and each text's bounds."""
     v = Vocabulary(texts)
     places, length, bounds = v.windows()
     index = v.index[places] if len(v.index) else places
-    peak = np.maximum.reduceat(logits(p, embed(p, v), index, length), bounds[:-1]) if len(texts) else np.zeros(0, np.float32)
-    a, b = p["line"]
-    return sigmoid((a * peak + b).astype(np.float64))
+    return logits(p, embed(p, v), index, length), bounds
+
+
+def scores(p: dict, texts) -> np.ndarray:
+    """The score of each whole text."""
+    if not len(texts):
+        return np.zeros(0)
+    x = summary(*window_logits(p, texts))
+    return sigmoid(x @ p["line"][:-1] + p["line"][-1])
 
 
 def fold():
