@@ -143,7 +143,9 @@ def clean_events(events: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def drop_overlaps(events: DataFrame) -> DataFrame:
-    return events.repartition(*KEYS).sortWithinPartitions(*KEYS, "start", "end").mapInPandas(clean_events, events.schema)
+    """Without events that overlap an earlier kept one of their label; of equal starts the one that was given first (`ord`) stays."""
+    order = ["start", "ord"] if "ord" in events.columns else ["start", "end"]
+    return events.repartition(*KEYS).sortWithinPartitions(*KEYS, *order).mapInPandas(clean_events, events.schema)
 
 
 def violations(predicted: DataFrame, curve: DataFrame, videos: DataFrame, labels: list[str]) -> DataFrame:

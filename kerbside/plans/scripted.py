@@ -7,7 +7,6 @@ street. Every rule has a scene that it is about, under one layout, so that a run
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +82,7 @@ def scripted_context(spark: SparkSession, sf_dir: str) -> Context:
     obs = usable(observations(boxes.where("kind <> 'smoke'").drop("scene"))).persist()  # read several times by a rule
     videos = boxes.select("video_id").distinct().withColumn("duration", F.lit(DURATION))
     cells = S.with_cells(obs.where("is_vehicle")).withColumn("video_id", F.lit("all"))
-    grids = tuple(videos.select("video_id").crossJoin(F.broadcast(g.drop("video_id"))) for g in (S.grid(cells), S.heading_votes(cells)))  # one place's cells
+    grids = tuple(videos.select("video_id").crossJoin(F.broadcast(g.drop("video_id"))).persist() for g in (S.grid(cells), S.heading_votes(cells)))  # one place's cells
     ticks = videos.select("video_id", F.explode(F.sequence(F.lit(0), F.lit(int(DURATION) - 1))).alias("t")).withColumn("t", F.col("t").cast("double"))
     signals = ticks.select("video_id", F.lit("lamp").alias("signal"), "t", (F.col("t") % 60).between(5, 29).alias("red"))
     smoke = boxes.where("kind = 'smoke' and t_us % 1000000 = 0").select("video_id", (F.col("t_us") / 1_000_000).alias("t"), "x1", "y1", "x2", "y2", F.lit(0.8).alias("conf"), F.lit(1).alias("cls"))
@@ -103,13 +102,6 @@ def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(run_rules(scripted_context(spark, sf_dir)))
 
 
-def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each rule finds before the final clean-up: events, videos and seconds."""
-    ctx = scripted_context(spark, sf_dir)
-    raw = reduce(DataFrame.unionByName, [RULES[label](ctx) for label in sorted(RULES)])
-    return raw.groupBy("label").agg(F.count("*").alias("events"), F.count_distinct("video_id").alias("videos"), F.round(F.sum(F.col("end") - F.col("start")) * 1000).cast("bigint").alias("ms"))
-
-
-QUERIES = {"all_rules": all_rules, "rule_counts": rule_counts}
+QUERIES = {"all_rules": all_rules}
 #: Rules on pairs, chains and signals aren't SQL; tests/test_scripted.py holds each rule against its scenes.
 ORACLE_SQL: dict[str, str] = {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,8 @@ def local_session(cpus: str | int = 8, shuffle_partitions: int = 8, memory: str
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that checkpoints have a folder.
 
-    The checkpoint folder is the cluster's (spark.checkpoint.dir). Where there is none, it is a folder in the warehouse, which a
-    cluster's machines share, or with a local master a temporary one. Arrow batches, which Spark bounds by rows, are made small enough for rows that hold long texts.
+    The checkpoint folder is the cluster's (spark.checkpoint.dir). Where there is none, it is with a local master a temporary folder, and
+    on a cluster one in the warehouse if that is on a file system that the machines share; a local warehouse is an error. Arrow batches, which Spark bounds by rows, are made small enough for rows that hold long texts.
     """
     if spark.conf.get(ARROW_ROWS) == "10000":  # Spark's own default
         spark.conf.set(ARROW_ROWS, "1000")
@@ -42,10 +43,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     if context.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None)
         if not own:
-            own = tempfile.mkdtemp(prefix="kerbside-") if context.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+            own = tempfile.mkdtemp(prefix="kerbside-") if re.match(r"local(\[|$)", context.master) else shared_folder(spark.conf.get("spark.sql.warehouse.dir"))
         context.setCheckpointDir(own)
     return spark
 
 
+def shared_folder(warehouse: str) -> str:
+    """A folder for checkpoints in the warehouse of a cluster; a warehouse on the driver's own disk won't do."""
+    if not re.match(r"(?!file:)[a-z][a-z0-9+.-]*:", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return warehouse.rstrip("/") + "/_checkpoints"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

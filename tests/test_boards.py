@@ -61,7 +61,7 @@ def test_coerced_query_is_a_loop(spark):
         if 0 <= s < e:
             rows.append((r["video_id"], r["label"], s, e, r["ord"]))
     want, last = [], {}
-    for v, label, s, e, _ in sorted(rows):
+    for v, label, s, e, _ in sorted(rows, key=lambda r: (*r[:3], r[4])):  # of equal starts the one given first
         if s >= last.get((v, label), 0.0):
             want.append((v, label, int(s), int(e)))
             last[v, label] = e
