@@ -69,20 +69,29 @@ def road_obstacle(ctx: Context, least_seconds: float = 5.0, before: float = 4.0)
     return found.unionByName(events(lasting.withColumn("start", F.greatest(F.lit(0.0), F.col("start") - before)), "road_obstacle", F.array().cast("array<bigint>")))
 
 
+def around(picture: np.ndarray, f: np.ufunc, beyond) -> np.ndarray:
+    """f over each pixel's 3 x 3 neighbourhood; `beyond` stands outside the picture."""
+    height, width = picture.shape
+    wide = np.pad(picture, 1, constant_values=beyond)
+    return f.reduce([wide[y : y + height, x : x + width] for y in range(3) for x in range(3)])
+
+
 def has_blob(pixels: set[tuple[int, int]], width: int, height: int, least: float, most: float) -> bool:
     """Whether, after an opening by 3 x 3, a connected part covers a share between `least` and `most` of the picture."""
-    near = lambda p: [(p[0] + dx, p[1] + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if 0 <= p[0] + dx < width and 0 <= p[1] + dy < height]
-    left = {q for p in pixels if all(x in pixels for x in near(p)) for q in near(p)}
-    while left:
-        todo, n = [left.pop()], 0
-        while todo:
-            n += 1
-            new = left.intersection(near(todo.pop()))
-            left -= new
-            todo += new
-        if least <= n / (width * height) <= most:
-            return True
-    return False
+    on = np.zeros((height, width), bool)
+    x, y = np.array([*pixels], int).reshape(-1, 2).T
+    on[y, x] = True
+    on = around(around(on, np.logical_and, True), np.logical_or, False)
+    nobody = width * height
+    label = np.where(on, np.arange(nobody).reshape(height, width), nobody)
+    while True:  # each part's least place spreads: to the neighbours, and to whoever has a neighbour's place
+        new = np.where(on, around(label, np.minimum, nobody), nobody)
+        new = np.where(on, np.append(new.ravel(), nobody)[new], nobody)
+        if (new == label).all():
+            break
+        label = new
+    sizes = np.unique(label[on], return_counts=True)[1] / (width * height)
+    return bool(((sizes >= least) & (sizes <= most)).any())
 
 
 def changed_frames(ctx: Context, threshold: float = 28.0, window: int = 8, least: float = 0.0006, most: float = 0.05, light: float = 0.15) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from test_rules import context, found, path, stream
 
@@ -37,6 +38,27 @@ def test_blobs():
     assert not has_blob({(x, 5) for x in range(40)}, W, H, 0.0006, 0.05)
 
 
+def test_blobs_against_a_search():
+    """Random pictures: opened, then parts by a search from each pixel."""
+    rng = np.random.default_rng(3)
+    for n in range(40):
+        w, h = int(rng.integers(4, 30)), int(rng.integers(4, 20))
+        pixels = {(int(x), int(y)) for y, x in np.argwhere(rng.random((h, w)) < (0.8, 0.93)[n % 2])}
+        near = lambda p: [(p[0] + dx, p[1] + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if 0 <= p[0] + dx < w and 0 <= p[1] + dy < h]  # noqa: B023, E731
+        left, sizes = {q for p in pixels if all(x in pixels for x in near(p)) for q in near(p)}, []
+        while left:
+            part, todo = set(), [left.pop()]
+            while todo:
+                p = todo.pop()
+                part.add(p)
+                new = left.intersection(near(p))
+                left -= new
+                todo += new
+            sizes.append(len(part) / (w * h))
+        for least, most in ((0.0, 0.1), (0.05, 0.3), (0.5, 1.0)):
+            assert has_blob(pixels, w, h, least, most) == any(least <= x <= most for x in sizes)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
 def test_registered_query_has_rows(spark):
     assert registry.QUERIES["rule_road_obstacle"](spark, "/root/testdata/sf0.01").count() > 0

@@ -104,3 +104,17 @@ def test_rows_behind_all_cameras_are_counted(spark, tmp_path):
 def test_silence_is_no_less_than_lateness(spark):
     with pytest.raises(ValueError):
         ordered(spark.createDataFrame([], SCHEMA), lambda: None, "video_id string", 5.0, 1.0)
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_a_cut_video_has_the_ids_of_the_uncut_one(spark, marked):
+    """Pauses of 3 s, with frames in them or without: a standing car is found again only where no frame said that it had gone."""
+    from kerbside.operators.tracking import Tracker, segments, track_frames
+
+    rows = [(*r[:1], r[1] + 7.0 * k, *r[2:]) for k in range(3) for r in street("a", 4, k)] + [("b", t / 10, 0, 5.0, 5.0, 50.0, 50.0, 0.9, 2) for t in range(8)]
+    rows += [("a", 7.0 * k + 4 + t / 10, None, None, None, None, None, None, None) for k in range(2) for t in range(30)] if marked else []
+    df = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (r["video_id"], r["t"], r["tid"], r["x1"])
+    want = [tuple(r) for v in "ab" for r in track_frames(Tracker(), df.where(F.col("video_id") == v).toPandas())[["video_id", "t", "tid", "x1"]].itertuples(index=False)]
+    assert sorted(map(key, track(df).collect())) == sorted(want)
+    assert segments(df).select("video_id", "segment").distinct().count() == (4 if marked else 2)
