@@ -2,8 +2,9 @@
 
 Each document's token ids (its text's and an end id) are cut into pieces of power-of-two lengths: as many of the full
 length as fit, then one piece for each bit of the rest, longest first. A piece is a sequence of its own, so none crosses
-documents and none needs padding; batches are formed within the bucket of one length. No row meets another, so there is
-no shuffle: the sequences are numbered by Spark's per-partition counter.
+documents and none needs padding. No row meets another, so there is no shuffle: the sequences are numbered by Spark's
+per-partition counter. `batches` puts pieces of one length together, as many as make a full length, so that a batch is a
+rectangle without padding; each task fills its own, and only the last batch of a length in it may be short.
 
 Edge cases: a null or empty text is the end id alone; null ids, repeated rows and very long texts need no special care
 (each row gives its own pieces and sequences); an empty table gives no pieces.
@@ -19,8 +20,10 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from kerbside.llm import common as C
 
@@ -142,6 +145,29 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, full: int
     return made.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
 
 
+def batches(made: DataFrame, full: int = FULL) -> DataFrame:
+    """Adds batch_id and batch_row: the bucket of equal lengths that a piece is in, and its row there. A batch has full // length rows."""
+    schema = StructType([*made.schema.fields]).add("batch_id", LongType()).add("batch_row", LongType())
+    place, names = made.columns.index("length"), schema.names
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, begun, open_ = TaskContext.get().partitionId() << 33, 0, {}
+        for batch in parts:
+            lengths = batch.column(place).to_numpy()
+            ids, rows = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+            for length in np.unique(lengths).tolist():
+                own, per = np.flatnonzero(lengths == length), full // length
+                number, filled = open_.get(length, (0, 0))
+                n = filled + np.arange(len(own))
+                k = n // per - (1 if filled else 0)  # -1: the batch that is open
+                ids[own], rows[own] = np.where(k < 0, number, begun + k), n % per
+                begun += int(k[-1]) + 1
+                open_[length] = int(ids[own[-1]]), int(n[-1] + 1) % per
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + ids), pa.array(rows)], names)
+
+    return made.mapInArrow(run, schema)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -68,6 +68,22 @@ def test_packing(docs, corpus, empty):
     assert packing.pieces(empty, path).collect() == []
 
 
+def test_batches_of_equal_lengths(docs):
+    made = packing.pieces(docs, tokenizers_of.path("word_bpe_49k.json"), full=64)
+    rows = packing.batches(made.repartition(2), 64).collect()
+    by_batch = {}
+    for r in rows:
+        by_batch.setdefault(r["batch_id"], []).append(r)
+    assert len(rows) == made.count()
+    short = Counter()
+    for own in by_batch.values():
+        [length] = {r["length"] for r in own}
+        assert sorted(r["batch_row"] for r in own) == list(range(len(own))) and len(own) <= 64 // length
+        short[length] += len(own) < 64 // length
+    assert max(short.values()) <= 2 and len(by_batch) < len(rows)  # one for each of the two tasks
+    assert packing.batches(made.limit(0), 64).collect() == []
+
+
 ODD = ["ΣΑΣ Σ", "é ́x", "<|endoftext|> hi", "a<|endoftext|>b <|startoftext|>x.<|startoftext|>", "<|ENDOFTEXT|>É<|endoftext|><|endoftext|> <|endoftext |>", "x y\t\tq", "it's I'LL we'd", "日本語 😀😀", "²³ ½ª a_b __  x\xa0\xa0y ÷×", "İI ß", "\r\n\x0b", "d\x85\x85q  \n\n z", "a\x1cb", "x  y", "word" * 40]
 
 
