@@ -34,7 +34,7 @@ def plain(v):
     return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
 
 
-@pytest.mark.parametrize("name", ["wrong_way", "local_fit", "direction_share", "runs", "hysteresis", "trailing_minimum", "nearest_asof", "forward_asof_clamped", "merge_segments", "overlap_join", "finalize", "in_zone", "box_pairs", "average_precision", "alarm_starts", "otsu_threshold", "violations", "match_candidates", "heat_strip", "counts_per_second", "heatmap", "greedy_thinned", "sanitised", "user_tiles"])
+@pytest.mark.parametrize("name", ["wrong_way", "local_fit", "direction_share", "runs", "hysteresis", "trailing_minimum", "nearest_asof", "forward_asof_clamped", "merge_segments", "overlap_join", "finalize", "in_zone", "box_pairs", "average_precision", "alarm_starts", "otsu_threshold", "violations", "match_candidates", "heat_strip", "counts_per_second", "heatmap", "greedy_thinned", "sanitised", "user_tiles", "risk_curve", "risk_percentiles", "context_grid", "context_votes", "zone_visits", "stability", "lamp_scores", "image_recall", "false_alarms", "alarm_runs", "dataset_stats", "drawn_tracks", "timeline_strip"])
 def test_query_is_its_sql(spark, duck, name):
     want = duck.sql(registry.ORACLE_SQL[name])
     columns = sorted(want.columns)
