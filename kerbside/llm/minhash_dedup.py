@@ -63,8 +63,8 @@ def labelled_classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     # classes are numbered in the order of their first documents, so a component's smallest number is its smallest document
     classes = classes.select("d1", "d2", "first", "s.*").repartitionByRange(C.spread(docs), "first", "d1", "d2").sortWithinPartitions("first", "d1", "d2").withColumn("id", F.monotonically_increasing_id()).checkpoint()
 
-    def keys(batch: pa.RecordBatch) -> np.ndarray:
-        return band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS), BANDS, ROWS)
+    def keys(batch: pa.RecordBatch) -> tuple[np.ndarray, None]:
+        return band_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS * ROWS), BANDS, ROWS), None
 
     found = C.settled(candidates(dealt(classes.select("id", "mins"), keys)))
 

@@ -265,3 +265,43 @@ def test_components_with_hot_nodes(spark):
         groups.join(a, b)
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
     assert got == {x: groups.root(x) for x in groups if groups.root(x) != x}
+
+
+def sets_at(rng, n, shared, own):
+    """n pairs of sets with so many shared values and so many of each one's own: values and bounds of 2 n rows."""
+    rows = []
+    for _ in range(n):
+        both = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+        rows += [np.concatenate((both, rng.integers(0, 1 << 63, own, dtype=np.uint64))) for _ in range(2)]
+    return np.concatenate(rows) << np.uint64(1), np.arange(0, 2 * n + 1) * (shared + own)
+
+
+@pytest.mark.parametrize(("shared", "own"), [(3, 1), (75, 25), (300, 100)])
+def test_marks_of_links_are_alike(shared, own):
+    """Sets with a similarity of 0.6, short ones too, keep nearly all pairs; those with 0.1 lose nearly all."""
+    rng = np.random.default_rng(shared)
+    for a, b, low, high in ((shared, own, 0.997, 1), (2 * own, 9 * own, 0, 0.02)):
+        marks = neardup.marks_of(neardup.minima(*sets_at(rng, 4_000, a, b), 75), 5)
+        like = neardup.differ(marks[::2], marks[1::2]) <= neardup.most_differ(60)
+        assert low <= like.mean() <= high
+
+
+def test_unlike_members_of_a_bucket_are_no_candidates():
+    """Of 300 unlike members only the three alike pairs are proposed and none waits in a large bucket; a clump of 60 does."""
+    rng = np.random.default_rng(1)
+    own = rng.integers(0, 1 << 63, (300, 100), dtype=np.uint64) << np.uint64(1)
+    own[:, :15] = own[0, :15]
+    own[[10, 20, 30], :90] = own[[11, 21, 31], :90]
+    both = rng.integers(0, 1 << 63, (60, 100), dtype=np.uint64) << np.uint64(1)
+    both[:, :90] = both[0, :90]
+
+    def found(rows):
+        n = len(rows)
+        marks = neardup.marks_of(neardup.minima(rows.ravel(), np.arange(n + 1) * 100, 75), 5)[:, 0]
+        return neardup.bucket_pairs(np.zeros(n, np.uint32), np.arange(n), np.zeros(n, bool), 48, marks, neardup.most_differ(60))
+
+    a, b, _, members = found(own)
+    assert {(10, 11), (20, 21), (30, 31)} <= set(zip(a.tolist(), b.tolist(), strict=True)) and len(a) < 500 and not len(members)  # of 44,850
+    a, b, _, members = found(np.concatenate((own, both)))
+    assert sorted(members.tolist()) == list(range(300, 360)) and (10, 11) in set(zip(a.tolist(), b.tolist(), strict=True))
+    assert {(300, i) for i in range(301, 360)} <= set(zip(a.tolist(), b.tolist(), strict=True))
