@@ -15,3 +15,12 @@ def test_box_edges_are_rounded_as_in_sql(spark, tmp_path):
     want = duck.sql(registry.ORACLE_SQL["box_pairs"])
     rows = registry.QUERIES["box_pairs"](spark, str(tmp_path)).select(*want.columns).collect()
     assert [tuple(r) for r in rows] == want.fetchall() != []
+
+
+def test_spark_knows_how_many_samples_there_are(spark):
+    from kerbside.plans.derived import SAMPLES, trajectories
+
+    rows = trajectories(spark, "/root/testdata/sf0.001")
+    least = rows.count() * 8  # bytes: less than one of its columns
+    assert rows.count() == 150 * SAMPLES
+    assert int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= least
