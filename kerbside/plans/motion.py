@@ -10,6 +10,7 @@ from kerbside.operators.kinematics import causal_fit, heading_bin
 from kerbside.plans.derived import TRAJECTORIES, observed, videos
 from kerbside.rules import Context
 from kerbside.rules.flow import against_traffic, wrong_way
+from kerbside.session import settled
 
 
 def _round(c, scale: int = 1):
@@ -60,7 +61,7 @@ def dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    return Context(observed(spark, sf_dir).persist(), videos(spark, sf_dir))  # read several times by a rule; Spark makes lost parts anew
+    return Context(settled(observed(spark, sf_dir)), videos(spark, sf_dir))  # read several times by a rule
 
 
 def against(spark: SparkSession, sf_dir: str) -> DataFrame:
