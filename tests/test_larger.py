@@ -41,3 +41,10 @@ def test_aligned_samples_take_the_nearest_the_earlier_of_two(spark):
     pairs = spark.createDataFrame([("v", 1, 2)], "video_id string, a bigint, b bigint")
     rows = pair_series(obs, pairs, least=1, reach=1e9).orderBy("t").collect()
     assert [(r["t"], r["t_b"], r["x_b"]) for r in rows] == [(0.125, 0.0625, 2.0625), (0.25, 0.1875, 2.1875)]
+
+
+def test_samples_of_one_small_file_are_many_tasks(spark):
+    from kerbside.plans.derived import trajectories
+
+    rows = trajectories(spark, "/root/testdata/sf0.001")
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
